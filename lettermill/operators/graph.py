@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lettermill.session import materialize
 
 MAX_ROUNDS = 60
+#: Up to so many edges a round is one task without a shuffle; more are dealt out.
+ONE_TASK = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,6 +35,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Number of edges, and a sum of their hashes."""
+    row = edges.select(F.xxhash64("a", "b").alias("h")).agg(F.count(F.lit(1)), F.sum(F.shiftright("h", 32)), F.sum(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))).first()
+    return tuple(row)
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Map every node that has an edge to the smallest node it can reach.
 
@@ -46,11 +54,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
+    before = _checksum(cur)
+    few = before[0] <= ONE_TASK
     for _ in range(MAX_ROUNDS):
-        cur = materialize(_small_star(_large_star(cur)), "stars")
-        # A fixed point has one edge per node other than the roots, and equal checksums twice running.
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        cur = materialize(_small_star(_large_star(cur.coalesce(1) if few else cur)), "stars")
+        # At the fixed point a round changes nothing.
+        now = _checksum(cur)
         if now == before or now[0] == 0:
             break
         before = now
