@@ -6,8 +6,8 @@ position, named by the position and the point's minwise token there, 1/similarit
 so that points as similar as the threshold stay together about as often as they are split. Independent
 trees repeat this until the chance to miss a link is negligible. Nodes of a few points are compared
 exhaustively; larger ones are compared against a pivot, and branch on while they hold points that are
-not yet in one cluster of candidates. What still is large and mixed at the last level becomes one
-cluster, so no candidate is dropped.
+not yet in one cluster of candidates. What still is large and mixed when branching no longer thins it out
+becomes one cluster, so no candidate is dropped.
 
 Clusters of candidates are then compared exhaustively on their full shingle sets, in blocks of bounded
 size when a cluster is large, and only the links of a spanning forest leave a block. Equal sets were
@@ -34,7 +34,10 @@ POSITIONS = 64
 TREES = 12
 #: Nodes of up to this many points are compared exhaustively.
 SMALL = 16
-LEVELS = 6
+LEVELS = 12
+#: Branching ends early when a level leaves more than this share of the rows in large mixed nodes: what is
+#: left is about as similar as the threshold asks for, and would not thin out.
+THINNING = 0.7
 #: Standard deviations by which a pair's estimate may fall short of the threshold.
 SLACK = 4.0
 #: Points, and shingles, of one block in the final comparison.
@@ -139,7 +142,7 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
     minis = points.select("point", "mini")
     fits = lambda m, n: F.least(m, n) >= F.lit(similarity - 1e-9) * F.greatest(m, n)
     rows = points.select("point", "n", "sketch").mapInPandas(partial(_branched, similarity=similarity, trees=trees), shape)
-    edges = clusters = None
+    edges = clusters = before = None
     for level in range(1, levels + 1):
         # The pivot is another point for each node: the smallest by a hash of both.
         rank = F.struct(F.xxhash64("node", "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"))
@@ -159,10 +162,12 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
         named = large.join(clusters.select(F.col("node").alias("point"), "root"), "point", "left").withColumn("root", F.coalesce("root", "point"))
         mixed = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("node")
         left = materialize(named.join(mixed, "node").select("node", "point", "n"), f"mixed{level}")
-        if left.isEmpty():
+        now = left.count()
+        if not now:
             return clusters
-        if level == levels:
+        if level == levels or before and now > THINNING * before:
             return connected_components(edges.union(left.join(left.groupBy("node").agg(F.min("point").alias("q")), "node").select(F.col("point").alias("p"), "q")), "p", "q")
+        before = now
         rows = left.join(points.select("point", "sketch"), "point").select("node", "point", "n", "sketch").mapInPandas(partial(_branched, similarity=similarity, trees=trees), shape)
     return clusters
 
