@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lettermill.plans.oracle import ORACLE_SQL
+from lettermill.plans.queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "near_dup_edges"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
