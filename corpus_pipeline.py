@@ -1,15 +1,63 @@
-"""A corpus from raw documents, by five of the training-data operators in order."""
+"""A corpus from raw documents, by five of the training-data operators in order.
+
+Each stage takes the documents that its predecessor kept. The first four return them with the columns they
+came with; the last returns the mix: doc_id, size, source_size, target, taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lettermill.llm import decontam, minhash, mixing, quality, toxicity
+from lettermill.session import materialize
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality."""
+    return quality.accept(docs, _table(spark, sf_dir, "labels"))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic."""
+    return toxicity.accept(docs, _table(spark, sf_dir, "labels"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return minhash.distinct(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("toxicity", toxicity_filter),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_to_target_weights),
+]
+
+#: Learned scores and connected components over sampled trees can't be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of a folder. What a stage keeps is written before the next one."""
+    docs = _table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"stage{k}")
     return docs

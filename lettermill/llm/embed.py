@@ -28,7 +28,7 @@ CELL, CELLS = 8192, 256
 BLOCK = 4096
 ROUNDS = 8
 
-UNITS = "uid long, vec_id long, dim int, digest string, vector binary"
+UNITS = "uid long, vec_id string, dim int, digest string, vector binary"
 
 
 def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +137,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
     (smallest vec_id reachable), kept (vec_id equals it). Rows that repeat a vec_id count as rows of their
     own, each a link of the other if they are alike. An empty table gives an empty result.
     """
-    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = materialize(base.mapInPandas(_units, UNITS), "units")
+    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Ids pass Python as strings, since pandas would make floats of numbers with nulls among them.
+    units = materialize(base.mapInPandas(_units, UNITS).withColumn("vec_id", F.col("vec_id").cast("long")), "units")
     first = F.min(F.struct("uid", "dim", "vector")).alias("first")
     points = units.where("digest is not null").groupBy("digest").agg(first, F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     points = materialize(points.select("digest", F.col("first.uid").alias("point"), "first.dim", "first.vector", "weight", "least"), "points")

@@ -49,7 +49,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 
-SIGNATURE = "uid long, doc_id long, n_shingles long, digest string, sketch binary, mini binary"
+SIGNATURE = "uid long, doc_id string, key long, n_shingles long, digest string, sketch binary, mini binary"
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -83,7 +83,7 @@ def _signatures(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataF
             sk = sketch([sets[i] for i in full])
             rows = dict(zip(full, sk, strict=True))
             yield pd.DataFrame({
-                "uid": part["uid"].to_numpy(), "doc_id": part["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "digest": [digest(s) for s in sets],
+                "uid": part["uid"], "doc_id": part["doc_id"], "key": part["key"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) for s in sets],
                 "sketch": [rows[i].tobytes() if i in rows else None for i in range(len(sets))],
                 "mini": [rows[i].astype(np.uint8).tobytes() if i in rows else None for i in range(len(sets))],
             })
@@ -231,20 +231,22 @@ def _verified(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"p": [point[i] for i, _ in forest], "q": [point[j] for _, j in forest]}, dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, block: int = BLOCK, key: str | None = None) -> DataFrame:
     """Link documents whose sets of distinct width-word shingles have 100 * |A & B| >= percent * |A | B|.
 
     docs: doc_id (long) and text; other columns are ignored. Words lie between ASCII white space, A-Z
     lower-cased. A text of fewer words is one shingle. Returns one row per input row: doc_id, n_shingles,
     component_id (smallest doc_id reachable over links, null doc_ids last), kept (doc_id equals it).
     Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id count as rows
-    of their own: equal texts link, others only if similar. An empty table gives an empty result.
+    of their own: equal texts link, others only if similar. An empty table gives an empty result. With key, the
+    name of a column of numbers, key and root (a number for each group, null without shingles) come as well.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(
-        texts.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(partial(_signatures, width=width), SIGNATURE), "signatures"
-    )
+    own_key = F.lit(0) if key is None else F.col(key)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_key.cast("long").alias("key"), F.col("text").cast("binary").alias("text"))
+    # Ids pass Python as strings, since pandas would make floats of numbers with nulls among them.
+    rows = texts.withColumn("uid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = rows.mapInPandas(partial(_signatures, width=width), SIGNATURE)
+    signed = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
     first = F.min(F.struct("uid", "doc_id", F.col("n_shingles").alias("n"), "sketch", "mini")).alias("first")
     points = materialize(
         signed.where("n_shingles > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least"))
@@ -255,10 +257,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     roots = connected_components(edges, "p", "q")
     named = points.select("digest", "point", "least").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = materialize(named.join(least, "root").select("digest", "component_id"), "components")
-    out = signed.select("doc_id", "n_shingles", F.nullif("digest", F.lit("")).alias("digest")).join(component, "digest", "left")
+    component = materialize(named.join(least, "root").select("digest", "root", "component_id"), "components")
+    out = signed.select("doc_id", "key", "n_shingles", F.nullif("digest", F.lit("")).alias("digest")).join(component, "digest", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "key", "root")
+    return out.drop("key", "root") if key is None else out
+
+
+def distinct(docs: DataFrame, width: int = 5, percent: int = 80, **options: int) -> DataFrame:
+    """docs, all columns, with one row of each group that near_duplicates finds, that of the smallest doc_id.
+
+    Rows are told apart by doc_id and the hash of the text. Of rows that repeat both, one stays if any does;
+    of rows that repeat the smallest doc_id with other texts, that with the smallest hash of the text.
+    """
+    keyed = docs.withColumn("__lm_text", F.xxhash64("text"))
+    found = materialize(near_duplicates(keyed, width, percent, key="__lm_text", **options), "found")
+    # The group of a component_id is that of one root; texts without shingles are groups of their own.
+    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
+    keep = best.select(F.col("b.doc_id").alias("__lm_id"), F.col("b.key").alias("__lm_key")).distinct()
+    drop = found.where("n_shingles > 0").select(F.col("doc_id").alias("__lm_id"), F.col("key").alias("__lm_key")).distinct()
+    drop = materialize(drop.join(keep.select(F.col("__lm_id").alias("i"), F.col("__lm_key").alias("k")), F.col("__lm_id").eqNullSafe(F.col("i")) & (F.col("__lm_key") == F.col("k")), "left_anti"), "dropped")
+    sought = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    same = keyed["doc_id"].eqNullSafe(sought["__lm_id"]) & (F.col("__lm_text") == F.col("__lm_key"))
+    left = keyed.join(sought, same, "left_anti")
+    return left.select(*docs.columns)
 
 
 def _confirmed(texts: DataFrame, points: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
