@@ -15,16 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from lettermill.llm.labels import drawn, held_out, learning_rows, texts_of
 from lettermill.llm.words import alnum_words
 
 #: Toxic examples and unlabelled texts at most that the classifiers are fitted on.
-POSITIVES, UNLABELLED = 5_000, 15_000
+POSITIVES, UNLABELLED = 4_000, 10_000
 #: Words, and their beginnings of so many bytes, are hashed to this many bits. Weighed are at most so many
 #: of them, which this many examples have at least and a log-likelihood ratio sets apart this clearly.
-BITS, STEMS = 20, range(4, 9)
+BITS, STEMS = 20, (4, 6, 8)
 WORDS, LEAST, APART = 512, 4, 15.0
 EPOCHS, BATCH, RATE, RIDGE, SEEDS = 30, 512, 0.05, 1e-5, 3
 #: Scores from here on are toxic.
@@ -92,12 +92,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     weights = np.zeros(1 << BITS, np.float32)
     if not positive or not unlabelled or not 0 < prior < 1:
         return Classifier(weights, -10.0)
-    share = lambda sets: np.bincount(np.concatenate(sets), minlength=1 << BITS) / len(sets)
+    share = lambda sets: sum(np.bincount(np.concatenate(sets[i : i + 500]), minlength=1 << BITS) for i in range(0, len(sets), 500)) / len(sets)
     a, b = share(positive), share(unlabelled)
-    apart = _apart(a, len(positive), b, len(unlabelled))
-    apart[(a * len(positive) < LEAST - 0.5) | (a <= b)] = 0
-    chosen = np.argsort(-apart, kind="stable")[:WORDS]
-    chosen = chosen[apart[chosen] >= APART]
+    often = np.flatnonzero((a * len(positive) > LEAST - 0.5) & (a > b))
+    apart = _apart(a[often], len(positive), b[often], len(unlabelled))
+    best = np.argsort(-apart, kind="stable")[:WORDS]
+    chosen = often[best[apart[best] >= APART]]
     column = np.full(1 << BITS, -1)
     column[chosen] = np.arange(len(chosen))
     xp, xu = _matrix(positive, column, len(chosen)), _matrix(unlabelled, column, len(chosen))
@@ -132,9 +132,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Classifier(weights, float(total_bias) - _cut(zp, zu, prior))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
+@F.pandas_udf(BinaryType())
 def _word_set(text: pd.Series) -> pd.Series:
-    return pd.Series([word_set(t) for t in text], dtype="object")
+    return pd.Series([word_set(t).tobytes() for t in text], dtype="object")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     others = drawn(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.lit(0).alias("kind")).distinct(), unlabelled)
     rows = texts_of(toxic.union(others), docs).select("doc_id", "kind", _word_set("text").alias("x"))
     got = drawn(rows, positives + unlabelled).toPandas()
-    got = got.assign(key=[np.asarray(x).tobytes() for x in got["x"]]).sort_values(["doc_id", "kind", "key"])
-    sets = lambda kind: [np.asarray(x, np.int64) for x in got.loc[got["kind"] == kind, "x"]]
+    got = got.sort_values(["doc_id", "kind", "x"])
+    sets = lambda kind: [np.frombuffer(x, np.int32) for x in got.loc[got["kind"] == kind, "x"]]
     return fit(sets(1), sets(0), float(prior or 0.0))
 
 
