@@ -8,6 +8,7 @@ user_id is the sample, event_type the status.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lettermill.functions import prompts, text
@@ -53,8 +54,6 @@ def manifest_digest(spark, d):
 
 def seeded_order_rank(spark, d):
     rows = docs(spark, d).select("source", "doc_id", text.seeded(SEED, F.col("path")).alias("ord"))
-    from pyspark.sql import Window as W
-
     return rows.select("source", "doc_id", F.row_number().over(W.partitionBy("source").orderBy("ord")).alias("rank"))
 
 
@@ -274,7 +273,7 @@ def _second(rows: DataFrame) -> DataFrame:
     """Another run over the same samples."""
     shift = F.when(F.col("sample_id") % 3 == 0, 0.2).otherwise(0.0)
     score = F.round(F.least(F.col("score") + shift, F.lit(1.0)), 2)
-    return rows.withColumn("score", score).withColumn("predicted", (score >= 0.5).cast("int"))
+    return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def _all(rows: DataFrame) -> DataFrame:

@@ -24,9 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Scratch paths of this process that release() deletes.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -40,8 +46,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a path in the shared folder, by Hadoop's file system API."""
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far. Results that were not written yet can't be read after that."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
