@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lettermill.llm import chat, decontam, embed, license, minhash, mixing, quality, toxicity, urls, warc
+from lettermill.llm.oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_embedding_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_perspectives": chat.ROTATE_SQL, "op7_warc_revisits": warc.ARCHIVE_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
