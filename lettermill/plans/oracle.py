@@ -203,6 +203,21 @@ ORACLE_SQL = {
       ), e(nth, split, exact) AS (SELECT 0, 'train', n * 0.70::DOUBLE FROM n UNION ALL SELECT 1, 'validation', n * 0.15::DOUBLE FROM n UNION ALL SELECT 2, 'test', n * (1 - 0.70::DOUBLE - 0.15::DOUBLE) FROM n
       ), r AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, nth) AS place FROM e)
       SELECT split, CAST(floor(exact) + CASE WHEN place <= (SELECT n FROM n) - (SELECT sum(floor(exact)) FROM e) THEN 1 ELSE 0 END AS BIGINT) AS target FROM r""",
+    "greedy_split": f"""WITH RECURSIVE {SPLIT}, each AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM docs GROUP BY source)
+      ), e(nth, exact) AS (SELECT 0, n * 0.70::DOUBLE FROM each UNION ALL SELECT 1, n * 0.15::DOUBLE FROM each UNION ALL SELECT 2, n * (1 - 0.70::DOUBLE - 0.15::DOUBLE) FROM each
+      ), r AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, nth) AS place FROM e
+      ), t AS (SELECT list(floor(exact) + CASE WHEN place <= (SELECT n FROM each) - (SELECT sum(floor(exact)) FROM e) THEN 1 ELSE 0 END ORDER BY nth) AS t FROM r
+      ), sized AS (SELECT source, gid, count(*) AS n FROM split_ GROUP BY ALL
+      ), placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, sha256('{SEED}:' || gid)) AS i FROM sized
+      ), fold AS (
+        SELECT source, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS gid, CAST(NULL AS VARCHAR) AS split, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM (SELECT DISTINCT source FROM placed)
+        UNION ALL
+        SELECT source, i, gid, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'validation' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END FROM (
+          SELECT p.source, p.i, p.gid, p.n, a, b, c, list_sort([
+            {{'f': (a + p.n) / t[1], 'h': sha256('{SEED}:' || p.gid || ':train'), 's': 'train'}}, {{'f': (b + p.n) / t[2], 'h': sha256('{SEED}:' || p.gid || ':validation'), 's': 'validation'}},
+            {{'f': (c + p.n) / t[3], 'h': sha256('{SEED}:' || p.gid || ':test'), 's': 'test'}}])[1].s AS split
+          FROM fold f JOIN placed p ON p.source = f.source AND p.i = f.i + 1, t)
+      ) SELECT gid AS similarity_group_id, split FROM fold WHERE i > 0""",
     "split_pivot": f"""WITH {SPLIT} SELECT source, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM split_ GROUP BY source""",
     "split_leaks": f"WITH {SPLIT} SELECT gid AS similarity_group_id, count(DISTINCT split) AS splits FROM split_ GROUP BY gid HAVING count(DISTINCT split) > 1",
     "url_components": f"""SELECT page_id, upper(u.scheme) AS scheme, lower(u.host) AS host, u.path AS path, u.q NOT IN ('', '?') AS has_query, u.f NOT IN ('', '#') AS has_fragment
@@ -221,6 +236,14 @@ ORACLE_SQL = {
       SELECT page_id, regexp_extract_all(html, '<a\s+href="([^"]+)"', 1) AS t FROM pages)""",
     "message_ids": r"""SELECT page_id, nullif(regexp_replace(regexp_extract(url, '[^/]*$'), '^[<>]+|[<>]+$', '', 'g'), '') AS message_id, lower(substr(url, 9, 12)) AS domain,
       coalesce(nullif(regexp_replace(left(url, 80), '[^\p{L}\p{N}._-]', '', 'g'), ''), 'unknown') AS safe FROM pages""",
+    "parsed_messages": r"""SELECT doc_id, 'doc ' || doc_id AS subject, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body_sha256, CASE WHEN regexp_matches(text, '\S') THEN 'plain' ELSE 'missing' END AS body_source,
+      'sender@' || lang || '.example' AS from_address, lang || '.example' AS from_domain, 'x.org,y.org' AS to_domains, CAST(2 AS BIGINT) AS recipient_count, 'm' || doc_id || '@x' AS message_id,
+      CASE WHEN len(regexp_extract_all(text, '\p{L}')) >= 40 OR len(regexp_extract_all(text, '\p{L}')) + 3 >= 40 THEN 'english_main' ELSE 'unknown' END AS language_cohort, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "deidentified_messages": f"""SELECT doc_id, false AS leaks, {_has(_EMAIL, "(?i)")} AS had_email FROM documents""",
+    "enriched_pages": r"""WITH t AS (SELECT page_id, len(regexp_extract_all(html, '<a\s+href="/')) AS n FROM pages)
+      SELECT page_id, 'v1' || chr(10) || chr(10) || 'Local structural metadata (values deactivated):' || chr(10) || 'HTML link count: ' || n || chr(10) || 'HTML link structures: ' ||
+        CASE WHEN n > 0 THEN '[HTML_LINK_SCHEME_HTTP][HTML_LINK_DOMAIN_1][HTML_LINK_PATH_LOGIN]' ELSE '[NONE]' END || chr(10) || 'Attachment count: 2' || chr(10) || 'Attachment types: [ATTACHMENT_EXT_OTHER] [ATTACHMENT_EXT_PDF]' AS detector_input_text,
+        'detector-input-v2.0-links-attachments' AS representation_version FROM t""",
     "idf_table": f"WITH {TF} SELECT term, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (count(*) + 1)) + 1, 9) AS idf FROM tf GROUP BY term",
     "min_df_vocab": rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_ACCENTED}, '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents
       ), t AS (SELECT doc_id, unnest(w) AS term FROM w UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)

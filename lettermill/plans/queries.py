@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lettermill.functions import prompts, text
-from lettermill.functions.mail import links_column, visible_text_column
+from lettermill.functions.mail import enriched, links_column, parse_messages, visible_text_column
 from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, simhash, split, tfidf
 from lettermill.session import materialize
 from lettermill.sources import raw
@@ -215,6 +215,31 @@ def message_ids(spark, d):
     return table(spark, d, "pages").select("page_id", text.message_id(F.concat(F.lit(" \t<"), F.substring_index("url", "/", -1), F.lit(">\n"))).alias("message_id"), text.domain(F.concat(F.lit("User@"), F.upper(F.substring("url", 9, 12)))).alias("domain"), text.safe_diagnostic(F.col("url")).alias("safe"))
 
 
+def _mails(spark, d) -> DataFrame:
+    """Documents as mails: a plain part, and an attachment for some."""
+    head = F.concat(F.lit('From: "S" <Sender@'), F.upper("lang"), F.lit(".Example>\nTo: a@x.org, B@Y.org\nSubject:  doc "), F.col("doc_id").cast("string"), F.lit(" \nMessage-ID: <m"), F.col("doc_id").cast("string"), F.lit("@x>\n"))
+    kind = F.lit("MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
+    return table(spark, d, "documents").select("doc_id", F.concat(head, kind, "text").cast("binary").alias("raw_email"))
+
+
+def parsed_messages(spark, d):
+    rows = parse_messages(_mails(spark, d))
+    return rows.select("doc_id", "subject", F.sha2("body_text", 256).alias("body_sha256"), "body_source", "from_address", "from_domain", F.array_join("to_domains", ",").alias("to_domains"), "recipient_count", "message_id", "language_cohort", "error")
+
+
+def deidentified_messages(spark, d):
+    rows = parse_messages(_mails(spark, d))
+    left = lambda p: F.regexp_like("deidentified_body_text", F.lit(p))
+    return rows.select("doc_id", (left(text.EMAIL) | left(text.ACTIVE_URL) | left(text.LONG_NUMBER)).alias("leaks"), F.contains("deidentified_body_text", F.lit("[EMAIL_1]")).alias("had_email"))
+
+
+def enriched_pages(spark, d):
+    """Pages as HTML mails, with the structure of their links."""
+    html = F.concat(F.lit("MIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.replace("html", F.lit('href="/'), F.lit('href="http://H.example/login/')))
+    rows = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("sample_id"), F.lit("v1").alias("detector_input_v1"), html.cast("binary").alias("raw_email"), F.array(F.lit(".pdf"), F.lit(".tar.gz")).alias("attachment_extensions"))
+    return enriched(rows).select(F.col("sample_id").cast("long").alias("page_id"), "detector_input_text", "representation_version")
+
+
 def _tf(spark, d) -> DataFrame:
     return tfidf.counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"))
 
@@ -426,7 +451,7 @@ QUERIES = {
     for f in (
         raw_audit, manifest_digest, seeded_order_rank, sample_identity, exact_duplicates, source_quota_pool, skip_reasons, token_stats, bigram_features, simhash_fingerprint, band_buckets,
         bucket_overflow, near_dup_edges, similarity_components, similarity_group_ids, group_crossings, apportion_targets, greedy_split, split_pivot, split_leaks, url_components, url_shapes,
-        path_intents, pii_presence, attachment_tokens, html_links, html_visible_text, message_ids, idf_table, min_df_vocab, tfidf_weights, retrieve_top1_per_pool, retrieval_audit, retrieval_scores,
+        path_intents, pii_presence, attachment_tokens, html_links, html_visible_text, message_ids, parsed_messages, deidentified_messages, enriched_pages, idf_table, min_df_vocab, tfidf_weights, retrieve_top1_per_pool, retrieval_audit, retrieval_scores,
         confusion, classification_metrics, metrics_by_source, roc_auc, average_precision, bootstrap_interval, paired_difference, run_identity_check, comparison_gate, strategy_status,
         ledger_rounds, ledger_state, pending_batch, ledger_strangers, token_usage, batch_status, request_keys, four_shot_prompt, model_output_errors, model_scores, grid_metrics, top_features,
     )

@@ -312,7 +312,7 @@ def read_ledger(spark: SparkSession, path: Path, protocol: str) -> DataFrame:
     """The ledger's records; a broken line or another protocol is an error."""
     if not path.exists():
         return spark.createDataFrame([], ledger.RECORD)
-    rows = spark.read.schema(ledger.RECORD + ", broken string").option("columnNameOfCorruptRecord", "broken").json(str(path)).cache()
+    rows = spark.read.schema(ledger.RECORD + ", broken string").option("columnNameOfCorruptRecord", "broken").json(str(path))
     bad = rows.agg(F.count_if(F.col("broken").isNotNull()).alias("lines"), F.count_if(F.col("broken").isNull() & ~F.col("protocol_id").eqNullSafe(F.lit(protocol))).alias("others")).first()
     if bad.lines:
         raise ValueError(f"invalid ledger JSON on {bad.lines} lines")
@@ -322,11 +322,14 @@ def read_ledger(spark: SparkSession, path: Path, protocol: str) -> DataFrame:
 
 
 def _append(path: Path, record: Mapping[str, object]) -> None:
+    """Add a line in one write, which is on disk when this returns."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("a", encoding="utf-8") as out:
-        out.write(json.dumps(record, ensure_ascii=False, sort_keys=True) + "\n")
-        out.flush()
-        os.fsync(out.fileno())
+    out = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o644)
+    try:
+        os.write(out, (json.dumps(record, sort_keys=True) + "\n").encode())
+        os.fsync(out)
+    finally:
+        os.close(out)
 
 
 def _send(transport: ChatTransport, request: dict, key: str, pinned: str | None) -> tuple[dict, str | None]:

@@ -121,7 +121,6 @@ def test_batches(spark, config, nlp, tmp_path):
     first = run(Fake(Answer("{}"), study.RetryableTransportError("down")), max_new_cases=1)
     assert (first["status"], first["accepted_samples"]) == ("transport_error", 0)
     assert (second := run(Fake()))["status"] == "batch_limit" and second["accepted_samples"] == 3
-    assert run(Fake(Answer("x", resolved_model="other")))["status"] == "model_mismatch"
     spent = run(Fake(Answer("not json"), Answer("{}")), max_new_cases=1)
     assert spent["exhausted_samples"] == 1
     done = run(Fake(), max_new_cases=100, retry_exhausted=True)
@@ -133,6 +132,9 @@ def test_batches(spark, config, nlp, tmp_path):
     assert any(x["retry_round"] == 2 and x["authorised_retry"] for x in lines)
     with pytest.raises((FileNotFoundError, ValueError), match="retrieved"):
         lettermill.load_complete_test_comparison(spark, config)
+    wrong = lettermill.run_retrieval_four_shot_batch(spark, config, Fake(Answer("x", resolved_model="other")), authorised=True)
+    assert (wrong["status"], wrong["new_cases_this_invocation"]) == ("model_mismatch", 1)
+    (config.retrieval_dir / "ledger.jsonl").unlink()
     whole = lettermill.run_retrieval_four_shot_batch(spark, config, Fake(), authorised=True)
     assert whole["status"] == "complete" and whole["retrieval"]["targets"] == 8 and whole["retrieval"]["examples"] == 32
     assert len(lettermill.load_complete_test_comparison(spark, config)) == 3
