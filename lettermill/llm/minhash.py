@@ -272,15 +272,21 @@ def distinct(docs: DataFrame, width: int = 5, percent: int = 80, **options: int)
     """
     keyed = docs.withColumn("__lm_text", F.xxhash64("text"))
     found = materialize(near_duplicates(keyed, width, percent, key="__lm_text", **options), "found")
-    # The group of a component_id is that of one root; texts without shingles are groups of their own.
-    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"))
-    keep = best.select(F.col("b.doc_id").alias("__lm_id"), F.col("b.key").alias("__lm_key")).distinct()
-    drop = found.where("n_shingles > 0").select(F.col("doc_id").alias("__lm_id"), F.col("key").alias("__lm_key")).distinct()
-    drop = materialize(drop.join(keep.select(F.col("__lm_id").alias("i"), F.col("__lm_key").alias("k")), F.col("__lm_id").eqNullSafe(F.col("i")) & (F.col("__lm_key") == F.col("k")), "left_anti"), "dropped")
-    sought = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    same = keyed["doc_id"].eqNullSafe(sought["__lm_id"]) & (F.col("__lm_text") == F.col("__lm_key"))
-    left = keyed.join(sought, same, "left_anti")
-    return left.select(*docs.columns)
+    full = found.where("n_shingles > 0").select("root", F.col("doc_id").alias("__lm_id"), F.col("key").alias("__lm_key"))
+    first = F.min(F.struct(F.col("__lm_id").isNull().alias("none"), "__lm_id", "__lm_key")).alias("first")
+    keep = full.groupBy("root").agg(first).select(F.col("first.__lm_id").alias("i"), F.col("first.__lm_key").alias("k"))
+    each = full.groupBy("__lm_id", "__lm_key").agg(F.count(F.lit(1)).alias("n"))
+    each = each.join(keep, F.col("__lm_id").eqNullSafe(F.col("i")) & (F.col("__lm_key") == F.col("k")), "left")
+    each = materialize(each.where("k is null or n > 1").select("__lm_id", "__lm_key", F.col("k").isNotNull().alias("stays")), "keys")
+    sought = each.withColumnRenamed("stays", "__lm_stays")
+    sought = F.broadcast(sought) if each.count() <= BROADCAST_ROWS else sought
+    same = keyed["doc_id"].eqNullSafe(F.col("__lm_id")) & (F.col("__lm_text") == F.col("__lm_key"))
+    left = keyed.join(sought, same, "left").where(F.col("__lm_key").isNull() | F.col("__lm_stays"))
+    if each.where("stays").isEmpty():
+        return left.select(*docs.columns)
+    # Rows that stay but are there several times: only these are brought together.
+    once = left.where("__lm_stays").dropDuplicates(["__lm_id", "__lm_key"]).select(*docs.columns)
+    return left.where("__lm_stays is null").select(*docs.columns).union(once)
 
 
 def _confirmed(texts: DataFrame, points: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:

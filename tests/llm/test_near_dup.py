@@ -54,7 +54,7 @@ def test_repeated_and_null_ids_are_rows_of_their_own(spark):
 
 def test_distinct_keeps_one_of_each_group_and_all_columns(spark):
     rows = near_copies(seed=9)
-    docs = documents(spark, [*rows, (900, None, "x"), (901, "", "x")])
+    docs = documents(spark, [*rows, rows[0], rows[3], rows[3], (900, None, "x"), (901, "", "x")])
     sets = shingle_sets(rows, 5)
     expected = components([r[0] for r in rows], lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     got = minhash.distinct(docs)
