@@ -1,20 +1,23 @@
-"""Connected components by alternating star contractions.
+"""Connected components: alternating star contractions, or a union of sets where one task can hold it.
 
-Each round replaces edges by edges towards smaller ids until every node points at the smallest id
+Up to ONE_TASK edges go through one task, which merges sets. More are contracted in rounds. Each round replaces edges by edges towards smaller ids until every node points at the smallest id
 of its component. Rounds are aggregations and joins on node ids only: no node's neighbours are
 gathered in one row, so a star with millions of leaves costs no more memory than a chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.session import materialize
 
 MAX_ROUNDS = 60
-#: Up to so many edges a round is one task without a shuffle; more are dealt out.
-ONE_TASK = 200_000
+#: Edges that one task merges at most, about 200 bytes each.
+ONE_TASK = 500_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,6 +44,30 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges of a task to (node, root)."""
+    parent: dict = {}
+    for pdf in frames:
+        for pair in zip(pdf["a"], pdf["b"], strict=True):
+            tops = []
+            for node in pair:
+                path = []
+                while (up := parent.setdefault(node, node)) != node:
+                    path.append(node)
+                    node = up
+                for below in path:
+                    parent[below] = node
+                tops.append(node)
+            parent[max(tops)] = min(tops)
+    nodes = list(parent)
+    roots = []
+    for node in nodes:
+        while parent[node] != node:
+            node = parent[node]
+        roots.append(node)
+    yield pd.DataFrame({"node": nodes, "root": roots}) if nodes else pd.DataFrame({"node": [], "root": []}, dtype=object)
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Map every node that has an edge to the smallest node it can reach.
 
@@ -55,9 +82,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         "edges",
     )
     before = _checksum(cur)
-    few = before[0] <= ONE_TASK
+    if before[0] <= ONE_TASK:
+        kind = cur.schema["a"].dataType.simpleString()
+        return materialize(cur.coalesce(1).mapInPandas(_merged, f"node {kind}, root {kind}"), "components")
     for _ in range(MAX_ROUNDS):
-        cur = materialize(_small_star(_large_star(cur.coalesce(1) if few else cur)), "stars")
+        cur = materialize(_small_star(_large_star(cur)), "stars")
         # At the fixed point a round changes nothing.
         now = _checksum(cur)
         if now == before or now[0] == 0:
