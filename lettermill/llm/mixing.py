@@ -18,7 +18,7 @@ from lettermill.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Bits of the hash that each histogram resolves; the rest of its 63 bits is not looked at.
-LEVEL_BITS, LEVELS = 12, 4
+LEVEL_BITS, LEVELS = 12, 3
 #: The first pass ends at a document that is too large for what is left; the others fill that up with
 #: smaller ones, behind it.
 PASSES = 3
