@@ -113,12 +113,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     keyed = docs.withColumn("__lm_text", F.xxhash64("text"))
     found = scan(keyed, benchmark, window, ("doc_id", "__lm_text")).where(F.size("spans") > 0)
-    found = materialize(found.dropDuplicates(["doc_id", "__lm_text"]).select(F.col("doc_id").alias("__lm_id"), F.col("__lm_text").alias("__lm_key"), "spans"), "hits")
+    found = materialize(found.dropDuplicates(["doc_id", "__lm_text"]).select(F.col("doc_id").alias("__lm_id"), F.col("__lm_text").alias("__lm_key"), F.col("spans").alias("__lm_spans")), "hits")
     if mode == "documents":
-        found = found.drop("spans")
+        found = found.drop("__lm_spans")
     sought = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
     same = keyed["doc_id"].eqNullSafe(sought["__lm_id"]) & (F.col("__lm_text") == F.col("__lm_key"))
     if mode == "documents":
         return keyed.join(sought, same, "left_anti").select(*docs.columns)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("spans"))).alias("text")
+    text = F.when(F.col("__lm_spans").isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col("__lm_spans"))).alias("text")
     return keyed.join(sought, same, "left").select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -4,12 +4,12 @@ import random
 
 from pyspark.sql import Row
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item_id long, h long, score double, k int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item_id long, h long, score double, k int, spans string, root long"
 
 
 def documents(spark, rows):
     """rows of (doc_id, text, source), with other columns whose names clash with those the operators use."""
-    return spark.createDataFrame([(i, t, None, s, len(t or ""), 7, 8, 0.5, 9) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, s, len(t or ""), 7, 8, 0.5, 9, "sp", 3) for i, t, s in rows], SCHEMA)
 
 
 def words(rng, n, size=400):
