@@ -14,6 +14,8 @@ from lettermill.functions.text import pairs, tokens
 from lettermill.operators.graph import connected_components
 
 BANDS, BUCKET_CAP = 8, 250
+#: Bits from one counter to the next in a number, and (as a power of 2) votes counted there at most.
+LANE, RUN_BITS = 16, 14
 LEAST_TOKENS, MOST_DISTANCE, LEAST_RATIO = 20, 6, 0.75
 
 
@@ -21,13 +23,17 @@ def fingerprints(messages: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, token_count, fingerprint) of every message with a token.
 
     Each pair of words votes on each bit, by the first 8 bytes of its SHA-256; a bit is set at 0 votes or
-    more. Votes are summed before the shuffle.
+    more. Votes are summed before the shuffle: four bits share a number, 16 bits apart, for runs of pairs
+    short enough not to overflow.
     """
     words = messages.select(F.col(key), tokens(text).alias("w"))
-    feature = words.select(key, F.size("w").alias("n"), F.explode(pairs(F.col("w"))).alias("f"))
-    hashed = feature.select(key, "n", F.conv(F.substring(F.sha2("f", 256), 1, 16), 16, -10).cast("long").alias("h"))
-    ones = [F.sum(F.getbit("h", F.lit(b)).cast("long")).alias(f"b{b}") for b in range(64)]
-    votes = hashed.groupBy(key, "n").agg(F.count(F.lit(1)).alias("all"), *ones)
+    feature = words.select(key, F.size("w").alias("n"), F.posexplode(pairs(F.col("w"))).alias("at", "f"))
+    hashed = feature.select(key, "n", F.shiftright("at", RUN_BITS).alias("run"), F.conv(F.substring(F.sha2("f", 256), 1, 16), 16, -10).cast("long").alias("h"))
+    lanes = F.lit(sum(1 << LANE * i for i in range(64 // LANE)))
+    packed = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(lanes)).alias(f"p{b}") for b in range(LANE)]
+    runs = hashed.groupBy(key, "n", "run").agg(F.count(F.lit(1)).alias("all"), *packed)
+    ones = [F.sum(F.shiftrightunsigned(f"p{b % LANE}", b // LANE * LANE).bitwiseAND(F.lit((1 << LANE) - 1))).alias(f"b{b}") for b in range(64)]
+    votes = runs.groupBy(key, "n").agg(F.sum("all").alias("all"), *ones)
     bits = F.lit(0).cast("long")
     for b in range(64):
         bits = bits.bitwiseOR(F.when(F.col(f"b{b}") * 2 >= F.col("all"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))

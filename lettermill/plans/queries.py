@@ -67,7 +67,7 @@ def _pool(spark, d) -> pool.Pool:
     rows = docs(spark, d)
     rejected = pool.rejection(F.col("body") == "", F.lit(True), F.lit(False))
     rows = rows.select("doc_id", "source", "label", "content", text.seeded(SEED, F.col("path")).alias("ord"), rejected.alias("rejected"))
-    return pool.candidates(rows, SOURCES, DESIRED_SHARE)
+    return pool.candidates(materialize(rows, "messages"), SOURCES, DESIRED_SHARE)
 
 
 def source_quota_pool(spark, d):
@@ -255,8 +255,9 @@ def min_df_vocab(spark, d):
 
 
 def tfidf_weights(spark, d):
-    tf = _tf(spark, d)
-    return tfidf.weights(tf, "doc_id", tfidf.vocabulary(tf, table(spark, d, "documents").count())).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+    tf = materialize(_tf(spark, d), "tf")
+    vocab = materialize(tfidf.vocabulary(tf, table(spark, d, "documents").count()), "vocabulary")
+    return tfidf.weights(tf, "doc_id", vocab).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def _manifest(spark, d) -> tuple[DataFrame, DataFrame]:
