@@ -8,6 +8,7 @@ phrases that always label are templates too: a phrase ends wherever its state is
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -50,6 +51,16 @@ def _words(text: str) -> list[bytes]:
     return [w for piece in alnum_words(text.encode()) for w in piece]
 
 
+def _apart(spans: dict[int, tuple[float, int]]) -> list[tuple[int, int, float]]:
+    """Of spans by start (share, stop), those that don't overlap, larger shares first, then earlier stops."""
+    taken: list[tuple[int, int, float]] = []
+    for start, (share, stop) in sorted(spans.items(), key=lambda s: (-s[1][0], s[1][1], s[0])):
+        i = bisect(taken, (start,))
+        if (not i or taken[i - 1][1] <= start) and (i == len(taken) or stop <= taken[i][0]):
+            taken.insert(i, (start, stop, share))
+    return taken
+
+
 @dataclass
 class Automaton:
     """A suffix automaton of several word sequences. State 0 is the root."""
@@ -145,7 +156,8 @@ class Scanner:
         k, total = len(self.phrases), 0
         places: list[tuple[int, int]] = []
         chains: dict[int, list[tuple[int, int, int, int]]] = {}
-        spans: dict[int, tuple[float, int, int]] = {}
+        # Of each template, by start: the share covered at most, and where that ends.
+        spans: dict[int, dict[int, tuple[float, int]]] = {}
 
         def counted() -> Iterator[list[bytes]]:
             nonlocal total
@@ -174,8 +186,11 @@ class Scanner:
             live = [c for c in chains.get(i, ()) if at - c[2] <= self.gap + self.sizes[i]]
             chains[i] = [*live, (*best, at, end)]
             share = min(1.0, best[0] / self.sizes[i])
-            if share > spans.get(i, (0.0,))[0]:
-                spans[i] = (share, best[1], at)
+            spanned(i, best[1], at, share)
+
+        def spanned(i: int, start: int, stop: int, share: float) -> None:
+            if share >= self.cover and share > spans.setdefault(i, {}).get(start, (0.0,))[0]:
+                spans[i][start] = (share, stop)
 
         last = (0, 0, 0)
         for now in self.auto.statistics(counted()):
@@ -184,14 +199,14 @@ class Scanner:
                 size = self.sizes[i]
                 if run >= size and i < k:
                     places.append((i, at - size))
-                elif run >= size and spans.get(i, (0.0,))[0] < 1:
-                    spans[i] = (1.0, at - size, at)
+                elif run >= size:
+                    spanned(i, at - size, at, 1.0)
             if last[2] and (at != last[0] + 1 or run != last[2] + 1) and last[2] >= self.least[last[1]]:
                 ended(*last)
             last = now
         if last[2] >= self.least[last[1]]:
             ended(*last)
-        return total, places, [(i - k, a, b, share) for i, (share, a, b) in sorted(spans.items()) if share >= self.cover]
+        return total, places, [(i - k, a, b, share) for i, found in sorted(spans.items()) for a, b, share in _apart(found)]
 
 
 @cache
@@ -222,7 +237,8 @@ def found(text: Column, phrases: dict[str, str] | None = None, templates: list[t
     """What a text column holds, as a struct (FOUND).
 
     Places count once per occurrence, overlapping ones too; words count from 0. base_labels and labels are
-    distinct, sorted and comma-joined ('' for none). score is 1 where a phrase stands, else the largest
+    distinct, sorted and comma-joined ('' for none). spans are all places, apart from each other, where
+    enough of a template is covered, by template and start. score is 1 where a phrase stands, else the largest
     covered share of a template of which enough is covered, else 0. A null or empty text has no words.
     """
     own = phrases is not None or templates is not None

@@ -58,6 +58,20 @@ def test_long_templates_are_chained_over_edits():
     assert license._report(scanner, " ".join(w[:20]).encode())["labels"] == ""
 
 
+def test_repeated_notices_give_a_span_each():
+    mit = next(t for label, t in license.TEMPLATES if label == "mit" and len(t) > 200)
+    short, w = "Released under the MIT License", mit.split()
+    text = " filler ".join([short, mit, short, " ".join(w[:20] + ["surely"] + w[20:]), mit, short])
+    spans = license._report(license.default_scanner(), text.encode())["spans"]
+    t = tokens(text)
+    starts = lambda x: [i for i in range(len(t)) if t[i : i + len(tokens(x))] == tokens(x)]
+    assert [(s["start"], s["stop"]) for s in spans if s["template"] == 2] == [(i, i + 5) for i in starts(short)]
+    long = [s for s in spans if s["template"] == 3]
+    assert len(starts(short)) == len(long) == 3
+    assert [s["start"] for s in long if s["cover"] == 1 and s["stop"] - s["start"] == len(tokens(mit))] == starts(mit)
+    assert all(a["stop"] <= b["start"] for a, b in zip(long, long[1:], strict=False))
+
+
 def test_automaton_statistics():
     rng = random.Random(3)
     for _ in range(100):
