@@ -30,7 +30,8 @@ BROADCAST_REVISITS = 500_000
 STEP = 1 << 16
 
 HEADERS = "record_id string, page_id long, uri string, digest string, payload_bytes long, kind string, refers_to_id string, refers_to long"
-RECORD = HEADERS + ", payload binary"
+#: raw: the whole record, where it is neither a response nor a revisit.
+RECORD = HEADERS + ", payload binary, raw binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -53,16 +54,17 @@ def _line(name: str, value: Column) -> Column:
 
 
 def record(kind: Column, date: str = DATE) -> Column:
-    """A record without its end, from columns as in RECORD. Revisits have HTTP headers and no payload."""
+    """A record without its end, from columns as in RECORD. Revisits have HTTP headers and no payload, other kinds are as in raw."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit("\r\n\r\n"))
     block = F.when(kind == "response", F.concat(http, F.col("payload").cast("string"))).otherwise(http)
     profile = F.when(kind == "revisit", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    return F.concat(
+    fresh = F.concat(
         F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), _line("WARC-Profile", profile), _line("WARC-Refers-To", F.col("refers_to_id")),
         _line("X-Page-ID", F.col("page_id")), _line("X-Refers-To-Page-ID", F.col("refers_to")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block,
     )
+    return F.coalesce(F.col("raw").cast("string"), fresh)
 
 
 def write(records: DataFrame, path: str, per_file: int = RECORDS, date: str = DATE) -> None:
@@ -78,7 +80,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     return rows.select(
         _uuid(F.col("uid"), F.col("page_id")).alias("record_id"), F.col("page_id").cast("long").alias("page_id"), "uri", digest.alias("digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to_id"),
-        F.lit(None).cast("long").alias("refers_to"), "payload",
+        F.lit(None).cast("long").alias("refers_to"), "payload", F.lit(None).cast("binary").alias("raw"),
     )
 
 
@@ -111,6 +113,11 @@ class _Inflated(io.RawIOBase):
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive."""
+    return ((head, block) for _, head, block in _records(raw))
+
+
+def _records(raw: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
+    """The bytes before the block, headers and block of each record of an archive."""
     source = io.BufferedReader(_Inflated(raw), STEP)
     while line := source.readline():
         if not line.strip():
@@ -118,13 +125,15 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record: {line[:60]!r}")
         head: dict[str, str] = {}
+        before = [line]
         while (line := source.readline()).strip():
+            before.append(line)
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         block = source.read(int(head["content-length"]))
         if len(block) != int(head["content-length"]):
             raise ValueError("a WARC record is cut off")
-        yield head, block
+        yield b"".join([*before, line]), head, block
 
 
 def _parsed(frames: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
@@ -133,10 +142,9 @@ def _parsed(frames: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataF
     for pdf in frames:
         for content in pdf["content"]:
             rows, held = [], 0
-            for head, block in parse(content):
+            for before, head, block in _records(content):
                 kind = head.get("warc-type")
-                if kind not in ("response", "revisit"):
-                    continue
+                raw = None if kind in ("response", "revisit") else before + block
                 http, _, payload = block.partition(b"\r\n\r\n")
                 digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
                 if kind == "response":
@@ -144,12 +152,14 @@ def _parsed(frames: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataF
                     if digest and own != digest:
                         raise ValueError(f"payload of {head.get('warc-record-id')} doesn't have its digest")
                     size, digest = len(payload), own
+                elif raw is not None:
+                    size, payload = None, b""
                 else:
                     found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
                     size = int(found[1]) if found else None
                 row = (head.get("warc-record-id"), number(head.get("x-page-id")), head.get("warc-target-uri"), digest, size, kind, head.get("warc-refers-to"), number(head.get("x-refers-to-page-id")))
-                rows.append((*row, payload) if payloads else row)
-                held += len(payload) if payloads else 0
+                rows.append((*row, payload, raw) if payloads else row)
+                held += len(payload) + len(raw or b"") if payloads else 0
                 if len(rows) >= 4096 or held >= 1 << 24:
                     yield _frame(rows, names)
                     rows, held = [], 0
@@ -162,8 +172,8 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the archives below path, with or without payloads. Digests of responses are verified."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).select("content")
+    """Records of all types of the archives (.gz or .warc) below path, with or without payloads. Digests of responses are verified."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInPandas(lambda frames: _parsed(frames, payloads), RECORD if payloads else HEADERS)
 
 
@@ -179,19 +189,41 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(kept, ["digest", "payload_bytes"]).where(F.col("record_id") != F.col("refers_to_id")).select("record_id", "refers_to_id", "refers_to")
 
 
+def redirect(headers: DataFrame, revisits: DataFrame) -> DataFrame:
+    """The revisits among headers whose original is there: record_id, refers_to_id, refers_to, as resolve() leaves responses.
+
+    The original is the response that a revisit names, else one of its digest (the largest page_id, then record id).
+    """
+    moved = revisits.select(F.col("record_id").alias("__id"), F.col("refers_to_id").alias("__to"), F.col("refers_to").alias("__page"))
+    stays = headers.where("kind = 'response'").select("record_id", "digest", "page_id").join(moved, F.col("record_id") == F.col("__id"), "left")
+    gone = F.col("__id").isNotNull()
+    stays = stays.select("record_id", "digest", F.when(gone, F.col("__to")).otherwise(F.col("record_id")).alias("to_id"), F.when(gone, F.col("__page")).otherwise(F.col("page_id")).alias("to_page"))
+    best = F.max(F.struct(F.col("to_page").isNotNull().alias("has"), "to_page", "to_id")).alias("best")
+    named, alike = (stays.groupBy(F.col(c).alias(f"__{c}")).agg(best.alias(f"by_{c}")) for c in ("record_id", "digest"))
+    old = headers.where("kind = 'revisit'").select("record_id", "refers_to_id", "digest").dropDuplicates(["record_id"])
+    old = old.join(named, F.col("refers_to_id") == F.col("__record_id"), "left").join(alike, F.col("digest") == F.col("__digest"), "left")
+    found = F.coalesce("by_record_id", "by_digest")
+    return old.where(found.isNotNull()).select("record_id", found["to_id"].alias("refers_to_id"), found["to_page"].alias("refers_to"))
+
+
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0, date: str = DATE) -> None:
     """Read the archives below source and write them below target, with revisits for repeated payloads.
 
-    Revisits that source already has stay. Headers are written afresh.
+    Revisits that source already has stay, and refer to the response that stays for theirs, if source has
+    one. Headers of both are written afresh; records of other types stay as they are.
     """
-    revisits = materialize(resolve(read(spark, source, payloads=False), least_bytes), "revisits")
+    headers = materialize(read(spark, source, payloads=False).where("kind in ('response', 'revisit')"), "headers")
+    revisits = materialize(resolve(headers, least_bytes), "revisits")
+    if not headers.where("kind = 'revisit'").isEmpty():
+        revisits = materialize(revisits.union(redirect(headers, revisits)), "redirected")
     few = revisits.count() <= BROADCAST_REVISITS
     revisits = revisits.select(F.col("record_id").alias("__id"), F.col("refers_to_id").alias("__to"), F.col("refers_to").alias("__page"))
     rows = read(spark, source).join(F.broadcast(revisits) if few else revisits, F.col("record_id") == F.col("__id"), "left")
     again = F.col("__id").isNotNull()
+    fresh = again & (F.col("kind") == "response")
     rows = rows.withColumns({
         "kind": F.when(again, "revisit").otherwise(F.col("kind")), "refers_to_id": F.when(again, F.col("__to")).otherwise(F.col("refers_to_id")),
-        "refers_to": F.when(again, F.col("__page")).otherwise(F.col("refers_to")), "record_id": F.when(again, _uuid(F.col("record_id"), F.lit("revisit"))).otherwise(F.col("record_id")),
+        "refers_to": F.when(again, F.col("__page")).otherwise(F.col("refers_to")), "record_id": F.when(fresh, _uuid(F.col("record_id"), F.lit("revisit"))).otherwise(F.col("record_id")),
     })
     write(rows, target, date=date)
 

@@ -54,6 +54,28 @@ def test_parsing_members_and_broken_records():
         list(warc.parse(b"hello\r\n"))
 
 
+def test_other_records_and_old_revisits(spark, tmp_path):
+    def made(kind, name, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n"
+    page = lambda name, i: made("response", name, http + b"same", f"X-Page-ID: {i}")
+    same = f"WARC-Payload-Digest: sha1:{sha('same')}"
+    other = [made("warcinfo", "i", b"a: b\r\n\r\n\xff"), made("request", "q", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <a>", "WARC-Concurrent-To: <b>"), made("metadata", "m", b"")]
+    old = [made("revisit", "r1", http, same, "WARC-Refers-To: <a>"), made("revisit", "r2", http, same), made("revisit", "r3", http, f"WARC-Payload-Digest: sha1:{sha('far')}", "WARC-Refers-To: <far>")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "plain.warc").write_bytes(other[0] + page("a", 1) + old[0] + other[1])
+    (tmp_path / "in" / "packed.warc.gz").write_bytes(gzip.compress(page("b", 2) + other[2] + old[1] + old[2]))
+    warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = warc.read(spark, str(tmp_path / "out")).collect()
+    assert sorted(bytes(r.raw) for r in rows if r.raw is not None) == sorted(x[:-4] for x in other)
+    ids = {r.record_id for r in rows}
+    refers = {r.record_id: (r.refers_to_id, r.refers_to) for r in rows if r.kind == "revisit"}
+    assert {k: refers.pop(k) for k in ("<r1>", "<r2>", "<r3>")} == {"<r1>": ("<b>", 2), "<r2>": ("<b>", 2), "<r3>": ("<far>", None)}
+    assert list(refers.values()) == [("<b>", 2)] and "<b>" in ids and "<a>" not in ids and len(rows) == 8
+
+
 CHAT = [
     (1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, None, "ann", "late"), (1, 2, "bob b", "yo"), (2, 0, "system", "alone"), (3, 5, None, None), (3, 700, "user", ""),
     (None, 0, "user", "q"), (None, 300, "assistant", "a"), (1, -3, "cat", "first"),
