@@ -4,10 +4,11 @@ Each distinct shingle set is a point with POSITIONS minwise tokens. A tree start
 node. A node branches by positions drawn from its own name: a point goes to one child for each drawn
 position, named by the position and the point's minwise token there, 1/similarity children on average,
 so that points as similar as the threshold stay together about as often as they are split. Independent
-trees repeat this until the chance to miss a link is negligible. Nodes of a few points are compared
-exhaustively; larger ones are compared against a pivot, and branch on while they hold points that are
-not yet in one cluster of candidates. What still is large and mixed when branching no longer thins it out
-becomes one cluster, so no candidate is dropped.
+trees repeat this. Nodes of a few points are compared exhaustively; larger ones are compared against a
+pivot, and branch on while they hold points that are not yet in one cluster of candidates. Each level may
+part a pair, so points that are still in large mixed nodes get further trees, as many as the depth needs to
+keep the chance to miss a link below MISS. What still is large and mixed when branching no longer thins it
+out becomes one cluster, so no candidate is dropped.
 
 Clusters of candidates are then compared exhaustively on their full shingle sets, in blocks of bounded
 size when a cluster is large, and only the links of a spanning forest leave a block. Equal sets were
@@ -17,7 +18,8 @@ merged at the start, and pairs within a group are never written out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
+from math import comb, floor
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,11 @@ from lettermill.operators.graph import connected_components
 from lettermill.session import materialize
 
 POSITIONS = 64
+#: Trees over all points; deeper nodes get more (see trees_for).
 TREES = 12
+#: The chance that trees lose a pair right at the threshold whose sketches agree well enough, at any depth,
+#: and the trees that are started for that at most.
+MISS, MOST_TREES = 1e-4, 1000
 #: Nodes of up to this many points are compared exhaustively.
 SMALL = 16
 LEVELS = 12
@@ -105,17 +111,43 @@ def branch(nodes: np.ndarray, sk: np.ndarray, similarity: float) -> tuple[np.nda
     return np.concatenate(rows), np.concatenate(names)
 
 
-def _branched(frames: Iterator[pd.DataFrame], similarity: float, trees: int) -> Iterator[pd.DataFrame]:
-    """Rows (point, n, sketch), or (node, ...) below the root, to rows (node, point, n) of the children."""
+def missed(similarity: float, depth: int, trees: int) -> float:
+    """The chance that trees part a pair of that similarity within so many levels, in each of them.
+
+    Sketches agree in a binomial number of positions; given that, a pair's common nodes are a branching
+    process, and trees are independent. Pairs that the sketches' cut drops don't count.
+    """
+    own, cut, lost = floor(1 / similarity), similarity - SLACK * (similarity * (1 - similarity) / POSITIONS) ** 0.5, 0.0
+    more = 1 / similarity - own
+    for k in range(POSITIONS + 1):
+        if k / POSITIONS < cut:
+            continue
+        gone = 0.0
+        for _ in range(depth):
+            child = 1 - k / POSITIONS * (1 - gone)
+            gone = child**own * (1 - more + more * child)
+        lost += comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) * gone**trees
+    return lost
+
+
+@cache
+def trees_for(similarity: float, depth: int) -> int:
+    """How many trees nodes of a depth need so that a pair is missed with a chance of MISS at most."""
+    return next((t for t in range(1, MOST_TREES) if missed(similarity, depth, t) <= MISS), MOST_TREES)
+
+
+def _branched(frames: Iterator[pd.DataFrame], similarity: float, trees: tuple[int, int] = (0, 0)) -> Iterator[pd.DataFrame]:
+    """Rows (point, n, sketch) for each tree of a range, or (node, ...) below the root, to rows (born, node, point, n) of the children."""
     for pdf in frames:
         if not len(pdf):
             continue
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(len(pdf), POSITIONS)
         point, n = pdf["point"].to_numpy(), pdf["n"].to_numpy()
-        starts = [pdf["node"].to_numpy().view(np.uint64)] if "node" in pdf else [np.full(len(pdf), t + 1, np.uint64) for t in range(trees)]
+        born = pdf["born"].to_numpy()
+        starts = [pdf["node"].to_numpy().view(np.uint64)] if "node" in pdf else [np.full(len(pdf), t + 1, np.uint64) for t in range(*trees)]
         for nodes in starts:
             rows, names = branch(nodes, sk, similarity)
-            yield pd.DataFrame({"node": names.view(np.int64), "point": point[rows], "n": n[rows]})
+            yield pd.DataFrame({"born": born[rows], "node": names.view(np.int64), "point": point[rows], "n": n[rows]})
 
 
 @F.pandas_udf(DoubleType())
@@ -136,14 +168,21 @@ def _similar(pairs: DataFrame, minis: DataFrame, cut: float) -> DataFrame:
 
 
 def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
-    """(node, root): clusters that hold every candidate pair. points: point, n, sketch, mini."""
+    """(node, root): clusters that hold every candidate pair. points: point, n, sketch, mini.
+
+    The trees are started over all points. After each level, points still in large mixed nodes get as many
+    more as trees_for asks for at the next level: a pair that comes so far in one tree has had that many.
+    A row's born is the level after which its tree was started.
+    """
     cut = similarity - SLACK * (similarity * (1 - similarity) / POSITIONS) ** 0.5
-    shape = "node long, point long, n long"
+    shape = "born int, node long, point long, n long"
     minis = points.select("point", "mini")
     fits = lambda m, n: F.least(m, n) >= F.lit(similarity - 1e-9) * F.greatest(m, n)
-    rows = points.select("point", "n", "sketch").mapInPandas(partial(_branched, similarity=similarity, trees=trees), shape)
-    edges = clusters = before = None
-    for level in range(1, levels + 1):
+    grown = lambda rows, *new: rows.mapInPandas(partial(_branched, similarity=similarity, trees=new or (0, 0)), shape)
+    rows = grown(points.select(F.lit(0).alias("born"), "point", "n", "sketch"), 0, trees)
+    edges, before, level = None, {}, 0
+    while True:
+        level += 1
         # The pivot is another point for each node: the smallest by a hash of both.
         rank = F.struct(F.xxhash64("node", "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"))
         size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("first")).where("size > 1")
@@ -156,20 +195,29 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
         found = materialize(_similar(pairs, minis, cut), "candidates")
         edges = found if edges is None else edges.union(found)
         clusters = connected_components(edges, "p", "q")
-        large = level_rows.where(F.col("size") > small).select("node", "point", "n")
+        large = level_rows.where(F.col("size") > small).select("born", "node", "point", "n")
         if large.isEmpty():
             return clusters
         named = large.join(clusters.select(F.col("node").alias("point"), "root"), "point", "left").withColumn("root", F.coalesce("root", "point"))
         mixed = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("node")
-        left = materialize(named.join(mixed, "node").select("node", "point", "n"), f"mixed{level}")
-        now = left.count()
+        left = materialize(named.join(mixed, "node").select("born", "node", "point", "n"), f"mixed{level}")
+        now = {r["born"]: r["count"] for r in left.groupBy("born").count().collect()}
         if not now:
             return clusters
-        if level == levels or before and now > THINNING * before:
-            return connected_components(edges.union(left.join(left.groupBy("node").agg(F.min("point").alias("q")), "node").select(F.col("point").alias("p"), "q")), "p", "q")
+        ended = [k for k in now if level - k >= levels or k in before and now[k] > THINNING * before[k]]
+        if ended:
+            over = left.where(F.col("born").isin(ended))
+            edges = edges.union(over.join(over.groupBy("node").agg(F.min("point").alias("q")), "node").select(F.col("point").alias("p"), "q"))
+            if len(ended) == len(now):
+                return connected_components(edges, "p", "q")
+            left = left.where(~F.col("born").isin(ended))
         before = now
-        rows = left.join(points.select("point", "sketch"), "point").select("node", "point", "n", "sketch").mapInPandas(partial(_branched, similarity=similarity, trees=trees), shape)
-    return clusters
+        rows = grown(left.join(points.select("point", "sketch"), "point").select("born", "node", "point", "n", "sketch"))
+        wanted = max(trees_for(similarity, level - k + 1) for k in now if k not in ended)
+        if wanted > trees:
+            again = left.select("point").distinct().join(points, "point").select(F.lit(level).alias("born"), "point", "n", "sketch")
+            rows = rows.union(grown(again, trees, wanted))
+            trees = wanted
 
 
 def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:

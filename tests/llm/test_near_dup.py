@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lettermill.llm import embed, minhash
-from lettermill.llm.words import shingles
+from lettermill.llm.words import mix, shingles
 
 from .data import by_id, documents, near_copies, words
 
@@ -81,6 +81,28 @@ def test_a_tree_splits_less_than_it_keeps():
     assert found / 200 > 0.75
 
 
+def test_trees_grow_with_depth():
+    for similarity in (0.8, 0.85):
+        needed = [minhash.trees_for(similarity, depth) for depth in range(1, minhash.LEVELS + 1)]
+        assert needed == sorted(needed) and needed[2] <= minhash.TREES < needed[-1]
+        assert all(minhash.missed(similarity, d, t) <= minhash.MISS for d, t in enumerate(needed, 1))
+    # The chance agrees with trees grown by branch() for pairs of sketches.
+    rng, s, depth, trees, pairs = np.random.default_rng(5), 0.8, 6, 4, 4000
+    same = rng.random((pairs, minhash.POSITIONS)) < s
+    a = rng.integers(0, 1 << 32, same.shape, dtype=np.uint32)
+    b = np.where(same, a, a + 1).astype(np.uint32)
+    cut = s - minhash.SLACK * (s * (1 - s) / minhash.POSITIONS) ** 0.5
+    lost = same.mean(axis=1) >= cut
+    for t in range(trees):
+        own, nodes = np.arange(pairs), mix(np.arange(pairs, dtype=np.uint64) * np.uint64(trees) + np.uint64(t))
+        for _ in range(depth):
+            (ra, na), (rb, nb) = minhash.branch(nodes, a[own], s), minhash.branch(nodes, b[own], s)
+            both = na == nb
+            own, nodes = own[ra[both]], na[both]
+        lost[own] = False
+    assert abs(lost.mean() - minhash.missed(s, depth, trees)) < 0.02
+
+
 def test_forest_of_a_block():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
