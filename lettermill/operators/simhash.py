@@ -1,7 +1,8 @@
 """Near duplicates by 64-bit fingerprints of word pairs, banded into bytes.
 
 Any two fingerprints that differ in at most 6 bits agree in two of 8 bytes at least, so the equi-join on
-(band, byte) finds every pair unless a bucket overflows its cap.
+(band, byte) finds every pair unless a bucket overflows its cap. exact_edges() joins on two bands at once
+and has no cap.
 """
 
 from __future__ import annotations
@@ -65,6 +66,28 @@ def edges(banded: DataFrame, key: str, group: str) -> DataFrame:
     ).distinct()
 
 
+def exact_edges(prints: DataFrame, key: str, group: str) -> DataFrame:
+    """Pairs as in edges(), all of them: no bucket has a cap.
+
+    Pairs within MOST_DISTANCE bits agree in two bands at least, so rows meet by two bands and their bytes
+    (65,536 values for each two bands), and only where these are the first two that agree. The join is one
+    that adaptive execution can split where a value is hot. Equal fingerprints meet within one value.
+    """
+    byte = lambda b, s="": F.shiftrightunsigned(f"fingerprint{s}", 8 * b).bitwiseAND(F.lit(255)).cast("int")
+    two = [F.struct(F.lit(i * BANDS + j).alias("bands"), (byte(i) * 256 + byte(j)).alias("bytes")) for i in range(BANDS) for j in range(i + 1, BANDS)]
+    rows = prints.where(F.col("token_count") >= LEAST_TOKENS).select(key, group, "token_count", "fingerprint", F.explode(F.array(*two)).alias("two"))
+    a, b = (rows.select("two.bands", "two.bytes", *(F.col(c).alias(f"{c}_{s}") for c in (key, group, "token_count", "fingerprint"))) for s in "ab")
+    both = a.join(b, ["bands", "bytes"]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    distance = F.bit_count(F.col("fingerprint_a").bitwiseXOR(F.col("fingerprint_b")))
+    ratio = F.least("token_count_a", "token_count_b") / F.greatest("token_count_a", "token_count_b")
+    alike = F.filter(F.array(*(F.when(byte(i, "_a") == byte(i, "_b"), F.lit(i)) for i in range(BANDS))), lambda x: x.isNotNull())
+    near = both.where((distance <= MOST_DISTANCE) & (ratio >= LEAST_RATIO) & ~F.col(f"{group}_a").eqNullSafe(F.col(f"{group}_b")))
+    near = near.where(F.col("bands") == F.get(alike, F.lit(0)) * BANDS + F.get(alike, F.lit(1)))
+    return near.select(
+        F.col(f"{key}_a").alias("left_sample_id"), F.col(f"{key}_b").alias("right_sample_id"), distance.cast("tinyint").alias("hamming_distance"), ratio.alias("token_count_ratio")
+    )
+
+
 def overflow(banded: DataFrame) -> DataFrame:
     """One row: how often a full bucket was met, and whether every near pair was a candidate."""
     return banded.agg(F.count_if(~F.col("kept")).alias("bucket_overflow_events")).select(

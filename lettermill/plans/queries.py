@@ -122,6 +122,12 @@ def near_dup_edges(spark, d):
     return _edges(spark, d).withColumn("hamming_distance", F.col("hamming_distance").cast("int")).withColumn("token_count_ratio", F.round("token_count_ratio", 9))
 
 
+def near_dup_edges_exact(spark, d):
+    """near_dup_edges without the cap on buckets."""
+    found = simhash.exact_edges(_prints(spark, d), "doc_id", "content")
+    return found.withColumn("hamming_distance", F.col("hamming_distance").cast("int")).withColumn("token_count_ratio", F.round("token_count_ratio", 9))
+
+
 def similarity_components(spark, d):
     return graph.connected_components(_edges(spark, d), "left_sample_id", "right_sample_id")
 
@@ -451,7 +457,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         raw_audit, manifest_digest, seeded_order_rank, sample_identity, exact_duplicates, source_quota_pool, skip_reasons, token_stats, bigram_features, simhash_fingerprint, band_buckets,
-        bucket_overflow, near_dup_edges, similarity_components, similarity_group_ids, group_crossings, apportion_targets, greedy_split, split_pivot, split_leaks, url_components, url_shapes,
+        bucket_overflow, near_dup_edges, near_dup_edges_exact, similarity_components, similarity_group_ids, group_crossings, apportion_targets, greedy_split, split_pivot, split_leaks, url_components, url_shapes,
         path_intents, pii_presence, attachment_tokens, html_links, html_visible_text, message_ids, parsed_messages, deidentified_messages, enriched_pages, idf_table, min_df_vocab, tfidf_weights, retrieve_top1_per_pool, retrieval_audit, retrieval_scores,
         confusion, classification_metrics, metrics_by_source, roc_auc, average_precision, bootstrap_interval, paired_difference, run_identity_check, comparison_gate, strategy_status,
         ledger_rounds, ledger_state, pending_batch, ledger_strangers, token_usage, batch_status, request_keys, four_shot_prompt, model_output_errors, model_scores, grid_metrics, top_features,

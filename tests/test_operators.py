@@ -120,6 +120,26 @@ def test_fingerprints_edges_and_buckets(spark):
     assert simhash.overflow(banded).first().bucket_overflow_events == full > 0
 
 
+def test_exact_edges_have_no_cap(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = []
+    for i in range(600):  # the lowest byte is the same for all, so its bucket is over the cap
+        far = sum(1 << b for b in rng.sample(range(8, 64), rng.randrange(5)))
+        prints.append((base[i % 12] ^ far) >> 8 << 8)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(i, f"g{i // 2}", 20 + i % 9 if i % 7 else 19, p) for i, p in enumerate(signed)], "id long, grp string, token_count long, fingerprint long")
+    n = [20 + i % 9 if i % 7 else 19 for i in range(600)]
+    expected = {
+        (i, j, d) for j in range(600) for i in range(j)
+        if i // 2 != j // 2 and min(n[i], n[j]) >= 20 and min(n[i], n[j]) / max(n[i], n[j]) >= 0.75 and (d := bin(prints[i] ^ prints[j]).count("1")) <= 6
+    }
+    shown = lambda df: sorted((r.left_sample_id, r.right_sample_id, r.hamming_distance) for r in df.collect())
+    assert shown(simhash.exact_edges(frame, "id", "grp")) == sorted(expected)
+    capped = shown(simhash.edges(simhash.bands(frame, "id", F.col("id"), cap=5), "id", "grp"))
+    assert len(capped) < len(expected)
+
+
 def test_tokens_beyond_latin(spark):
     rows = ["Straße ﬁne ＡＢＣ", "İstanbul ΣΑΣ", "a_b-c", None, "日本 語"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(text.tokens(F.col("t"))).collect()]
