@@ -41,12 +41,12 @@ def state(samples: DataFrame, records: DataFrame, attempts: int = MAX_ATTEMPTS)
     return rows.select("sample_id", what.alias("state"), "retry_round", "used", "billable")
 
 
-def pending(states: DataFrame, limit: int, retry_exhausted: bool = False) -> DataFrame:
-    """The next samples to send, at most limit by id: sample_id, retry_round, attempt."""
+def pending(states: DataFrame, limit: int | None, retry_exhausted: bool = False) -> DataFrame:
+    """The next samples to send, at most limit by id, or all for None: sample_id, retry_round, attempt."""
     again = F.lit(retry_exhausted) & (F.col("state") == "exhausted")
     rows = states.where((F.col("state") == "pending") | again)
     nxt = rows.select("sample_id", F.when(again, F.col("retry_round") + 1).otherwise(F.col("retry_round")).alias("retry_round"), F.when(again, 1).otherwise(F.col("used") + 1).cast("int").alias("attempt"))
-    return nxt.orderBy("sample_id").limit(limit)
+    return nxt if limit is None else nxt.orderBy("sample_id").limit(limit)
 
 
 def strangers(samples: DataFrame, records: DataFrame) -> DataFrame:

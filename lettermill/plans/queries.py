@@ -406,7 +406,7 @@ def batch_status(spark, d):
 
 
 def request_keys(spark, d):
-    rows = ledger.pending(ledger.state(_ledger_samples(spark, d), _records(spark, d)), 1_000_000, retry_exhausted=True)
+    rows = ledger.pending(ledger.state(_ledger_samples(spark, d), _records(spark, d)), None, retry_exhausted=True)
     return rows.select("sample_id", ledger.request_key(F.lit("protocol"), F.col("sample_id"), F.col("retry_round"), F.col("attempt")).alias("request_key"))
 
 

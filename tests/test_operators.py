@@ -329,6 +329,13 @@ BROKEN = [
 ]
 
 
+def test_pending_without_a_limit(spark):
+    states = spark.createDataFrame([("b", "pending", 1, 0), ("a", "exhausted", 1, 3), ("c", "accepted", 1, 1)], "sample_id string, state string, retry_round int, used int")
+    got = ledger.pending(states, None, retry_exhausted=True)
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 1), ("b", 1, 1)]
+    assert "Limit" not in got._jdf.queryExecution().toString()
+
+
 def test_answers_are_checked_alike_in_both_forms(spark):
     import json
 
