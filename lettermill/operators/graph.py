@@ -1,8 +1,10 @@
-"""Connected components: alternating star contractions, or a union of sets where one task can hold it.
+"""Connected components: forests within tasks, contracted by rounds of star operations between them.
 
-Up to ONE_TASK edges go through one task, which merges sets. More are contracted in rounds. Each round replaces edges by edges towards smaller ids until every node points at the smallest id
-of its component. Rounds are aggregations and joins on node ids only: no node's neighbours are
-gathered in one row, so a star with millions of leaves costs no more memory than a chain.
+Each task first merges the edges it holds into a forest of stars, in a union of sets of bounded size. What
+connects stars of different tasks is contracted in rounds: edges are replaced by edges towards smaller ids
+until every node has one edge, to the smallest id of its component. Rounds are aggregations and joins on node ids:
+no node's neighbours are gathered in one row, so a star with millions of leaves costs no more memory
+than a chain. There is one way for all sizes; few edges lie in one task, whose forest is the result.
 """
 
 from __future__ import annotations
@@ -16,36 +18,24 @@ from pyspark.sql import functions as F
 from lettermill.session import materialize
 
 MAX_ROUNDS = 60
-#: Edges that one task merges at most, about 200 bytes each.
-ONE_TASK = 500_000
+#: Nodes that a task's union of sets holds, about 200 bytes each; then its stars go out and it starts anew.
+TASK_NODES = 1_000_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the smallest node around it."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the smallest of them. Here a > b in every edge."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+def _stars(parent: dict) -> pd.DataFrame:
+    low, high = [], []
+    for node in parent:
+        root = node
+        while parent[root] != root:
+            root = parent[root]
+        if root != node:
+            high.append(node)
+            low.append(root)
+    return pd.DataFrame({"a": high, "b": low})
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    """Number of edges, and a sum of their hashes."""
-    row = edges.select(F.xxhash64("a", "b").alias("h")).agg(F.count(F.lit(1)), F.sum(F.shiftright("h", 32)), F.sum(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))).first()
-    return tuple(row)
-
-
-def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All edges of a task to (node, root)."""
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as stars (a, b): b is the smallest node that a reaches over them."""
     parent: dict = {}
     for pdf in frames:
         for pair in zip(pdf["a"], pdf["b"], strict=True):
@@ -59,13 +49,36 @@ def _merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     parent[below] = node
                 tops.append(node)
             parent[max(tops)] = min(tops)
-    nodes = list(parent)
-    roots = []
-    for node in nodes:
-        while parent[node] != node:
-            node = parent[node]
-        roots.append(node)
-    yield pd.DataFrame({"node": nodes, "root": roots}) if nodes else pd.DataFrame({"node": [], "root": []}, dtype=object)
+        if len(parent) > TASK_NODES:
+            yield _stars(parent)
+            parent = {}
+    if parent:
+        yield _stars(parent)
+
+
+def _local(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.mapInPandas(_forest, f"a {kind}, b {kind}")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link each node's larger neighbours to the smallest node around it."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link each node and its smaller neighbours to the smallest of them. Here a > b in every edge."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none where others have one down to it."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -75,25 +88,14 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     self-loops are ignored, repeated edges count once, an empty edge list gives an empty result.
     Ids may be of any ordered type.
     """
-    cur = materialize(
-        edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-        .where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
-        .distinct(),
-        "edges",
+    ends = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(
+        F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))
     )
-    before = _checksum(cur)
-    if before[0] <= ONE_TASK:
-        kind = cur.schema["a"].dataType.simpleString()
-        return materialize(cur.coalesce(1).mapInPandas(_merged, f"node {kind}, root {kind}"), "components")
+    cur = materialize(_local(ends.distinct()), "stars")
     for _ in range(MAX_ROUNDS):
-        cur = materialize(_small_star(_large_star(cur)), "stars")
-        # At the fixed point a round changes nothing.
-        now = _checksum(cur)
-        if now == before or now[0] == 0:
+        if _settled(cur):
             break
-        before = now
+        cur = materialize(_local(_small_star(_large_star(cur))), "stars")
     else:
         raise RuntimeError("connected components did not converge")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
