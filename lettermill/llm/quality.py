@@ -140,9 +140,8 @@ def _statistics(text: pd.Series) -> pd.Series:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Fit on at most sample labelled rows that aren't held out, drawn by the hash of doc_id."""
-    rows = drawn(learning_rows(labels, label), sample)
-    rows = texts_of(rows, docs).select("doc_id", "y", _statistics("text").alias("x"))
-    got = drawn(rows, sample).toPandas()
+    rows = drawn(learning_rows(labels, label, docs), sample, "doc_id", "y")
+    got = texts_of(rows, docs, sample, _statistics).toPandas()
     got = got.assign(key=[np.asarray(x).tobytes() for x in got["x"]]).sort_values(["doc_id", "y", "key"])
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), FEATURES)
     return fit(x, got["y"].to_numpy(np.float64))
@@ -173,5 +172,9 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """docs, all columns, without those that classify would predict 0."""
+    """docs, all columns, without those that classify would predict 0.
+
+    Null and empty texts are judged by the score of no statistics, repeated rows alike; columns of any name
+    pass. With no label to learn from every score is 0.5 and all stay. An empty table gives an empty one.
+    """
     return docs.withColumn("__lm_score", scored(train(docs, labels), F.col("text"))).where(F.col("__lm_score") >= cut).select(*docs.columns)
