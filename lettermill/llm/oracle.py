@@ -101,7 +101,46 @@ WITH split_ AS (
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM scored, cut
 """
 
+def _pass(n: int, above: str) -> str:
+    """A pass over the documents behind a hash: where the budget ends, and what is left of it."""
+    return f"""p{n} AS (
+  SELECT d.source, h, upto, budget FROM (SELECT d.source, d.h, s.budget, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto
+    FROM d JOIN s{n - 1} s ON d.source IS NOT DISTINCT FROM s.source WHERE d.size <= floor(s.budget + 1e-6) AND {above}) d
+), e{n} AS (
+  SELECT source, min(h) FILTER (upto > budget + 1e-6) AS stop, coalesce(max(upto) FILTER (upto <= budget + 1e-6), 0) AS used FROM p{n} GROUP BY source
+), s{n} AS (
+  SELECT s.* EXCLUDE (budget), s.budget - coalesce(used, 0) AS budget, floor(s.budget + 1e-6) AS most{n}, CASE WHEN e.source IS NULL AND used IS NULL THEN NULL ELSE coalesce(stop, 68719476736) END AS stop{n}
+  FROM s{n - 1} s LEFT JOIN e{n} e ON s.source IS NOT DISTINCT FROM e.source
+)"""
+
+
+#: Written for tables whose rows don't repeat.
+MIXING = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 9) AS BIGINT) AS h FROM documents
+), src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap FROM src
+), levels AS (
+  SELECT *, cap / weight AS reach, ((SELECT sum(source_size) FROM src)::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), found AS (SELECT arg_min(level, reach) AS level FROM levels WHERE reach >= level
+), planned AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM found), cap)) AS target FROM weighed
+), s0 AS (
+  SELECT *, greatest(0, target - whole * source_size) AS budget FROM (SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0) + 1e-9), 0) AS BIGINT) AS whole FROM planned)
+), {_pass(1, "true")}, {_pass(2, "d.h > coalesce(s.stop1, 68719476736)")}, marked AS (
+  SELECT d.*, s.source_size, s.target, s.whole, s.budget,
+    coalesce(h < stop1 AND size <= most1, false) OR coalesce(h > stop1 AND h < stop2 AND size <= most2, false) AS extra
+  FROM d JOIN s2 s ON d.source IS NOT DISTINCT FROM s.source
+), last AS (
+  SELECT source, min(struct_pack(o := abs(size - budget), h := h, doc_id := doc_id)) AS l FROM marked WHERE NOT extra AND size < 2 * budget GROUP BY source
+)
+SELECT m.doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN extra OR coalesce(m.h = l.h AND m.doc_id = l.doc_id, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM marked m LEFT JOIN last ON m.source IS NOT DISTINCT FROM last.source
+"""
+
 ORACLE_SQL = {
+    "op9_source_mixing": MIXING,
     "op3_benchmark_decontamination": DECONTAMINATION,
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
     "op5_url_filter": URLS,
