@@ -85,18 +85,18 @@ def _smooth(kind: str) -> str:
 URLS = f"""
 WITH split_ AS (
   SELECT row_number() OVER () AS uid, page_id, translate(regexp_extract(coalesce(url, ''), '{_PARTS}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{_PARTS}', 2) AS path,
-    regexp_replace(regexp_replace(lower(coalesce(url, '')), '[0-9]', '0', 'g'), '{_FOLD}', '*', 'g') AS f FROM pages
+    regexp_replace(regexp_replace(lower(coalesce(url, '')), '[0-9]', '0', 'g'), '{_FOLD}', '*', 'g') AS f, substr(md5(coalesce(url, '')), 1, 1) < '3' AS held FROM pages
 ), ruled AS (SELECT *, {_RULE} AS rule FROM split_
 ), said AS (SELECT *, {_SAYS} AS ruled FROM ruled
-), grams AS (SELECT uid, ruled, substr('^^' || f, i, 3) AS g FROM (SELECT uid, ruled, f, unnest(range(1, length(f) + 1)) AS i FROM said)
-), counts AS (SELECT g, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM grams GROUP BY g
+), grams AS (SELECT uid, ruled, held, substr('^^' || f, i, 3) AS g FROM (SELECT uid, ruled, held, f, unnest(range(1, length(f) + 1)) AS i FROM said)
+), counts AS (SELECT g, count(*) FILTER (ruled = 'allow' AND NOT held) AS a, count(*) FILTER (ruled = 'block' AND NOT held) AS b FROM grams GROUP BY g
 ), {_order(1)}, {_order(2)}, {_order(3)}, ratios AS (
   SELECT g, ln({_smooth("a")}) - ln({_smooth("b")}) AS r FROM counts
     JOIN t1 ON t1.t = substr(g, 3, 1) JOIN c1 ON c1.t = '' JOIN t2 ON t2.t = substr(g, 2, 2) JOIN c2 ON c2.t = substr(g, 2, 1) JOIN t3 ON t3.t = g JOIN c3 ON c3.t = substr(g, 1, 2)
 ), scores AS (SELECT uid, avg(r) AS score FROM grams JOIN ratios USING (g) GROUP BY uid
 ), scored AS (SELECT s.*, coalesce(score, 0.0) AS score FROM said s LEFT JOIN scores USING (uid)
 ), spread AS (
-  SELECT avg(score) FILTER (ruled = 'allow') AS a, stddev_pop(score) FILTER (ruled = 'allow') AS sa, avg(score) FILTER (ruled = 'block') AS b, stddev_pop(score) FILTER (ruled = 'block') AS sb FROM scored
+  SELECT avg(score) FILTER (ruled = 'allow') AS a, stddev_pop(score) FILTER (ruled = 'allow') AS sa, avg(score) FILTER (ruled = 'block') AS b, stddev_pop(score) FILTER (ruled = 'block') AS sb FROM scored WHERE held
 ), cut AS (SELECT CASE WHEN a IS NULL OR b IS NULL THEN '-infinity'::DOUBLE WHEN sa + sb > 0 THEN (a * sb + b * sa) / (sa + sb) ELSE (a + b) / 2 END AS cut FROM spread)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM scored, cut
 """
