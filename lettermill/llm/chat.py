@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lettermill.session import count, materialize
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turn numbers to a block.
 BLOCK = 256
+#: Pairs of dialogue and participant that are broadcast, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_PARTIES = 500_000
 
 
 def _safe(text: Column) -> Column:
@@ -32,7 +36,9 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
 
     turns: conv_id, turn, role, text. Turns go by number, null last, then role and text; repeated rows
     stay. A null role speaks as "unknown", a null text is empty. Participants are the roles but system; a
-    dialogue of system turns alone has none and gives no rows. A null conv_id is a dialogue too.
+    dialogue of system turns alone has none and gives no rows. A null conv_id is a dialogue too. The result
+    has a row for each turn and participant, as it must; turns of equal or null number are one block, which one
+    task sorts (on disk if need be) for each participant. An empty table gives none; other columns are ignored.
 
     Returns conv_id, perspective, seq (from 0), role (system, assistant, user), name (of users), rendered
     (the turn's part of the dialogue), start and stop (its place there in characters), mask_start and
@@ -41,8 +47,10 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     base = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("speaker"), _safe(F.coalesce("text", F.lit(""))).alias("text")
     )
-    parties = base.where(F.col("speaker") != system).groupBy(F.col("conv_id").alias("__c")).agg(F.array_sort(F.collect_set("speaker")).alias("parties"))
-    rows = base.join(parties, F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", "turn", "speaker", "text", F.explode("parties").alias("perspective"))
+    parties = materialize(base.where(F.col("speaker") != system).select(F.col("conv_id").alias("__c"), F.col("speaker").alias("perspective")).distinct(), "parties")
+    # Both sides of a shuffled join come straight from tables, so that a hot dialogue's turns can be split.
+    known = F.broadcast(parties) if count(parties) <= BROADCAST_PARTIES else parties
+    rows = base.join(known, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
     role = F.when(F.col("speaker") == system, "system").when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     name = F.when(F.col("role") == "user", _name(F.col("speaker")))
     head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
