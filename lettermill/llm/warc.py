@@ -1,9 +1,11 @@
 """WARC archives: write records, read them back, resolve revisits, write deduplicated archives.
 
 Spark's text writer writes archives: a record's end, two line ends, is its line separator. Files are split
-by a number of records. Reading takes each file's bytes and cuts records by their Content-Length, so that
-payloads may hold anything. To resolve revisits only headers are shuffled, by payload digest; the payloads
-meet their decision in a broadcast of the revisits, or in a join if there are too many of them.
+by a number of records that depends on their size, so that no archive holds more than a bounded number of bytes or one
+record. Reading takes each file's bytes and cuts records by their Content-Length, so that payloads may hold
+anything. To resolve revisits only headers are shuffled, by payload digest; the payloads meet their decision in
+a broadcast of the revisits, or in a join if there are too many of them. What a capture's own headers say (date, HTTP
+status and headers, other WARC fields of records that aren't rewritten) is kept.
 """
 
 from __future__ import annotations
@@ -19,19 +21,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.session import materialize, scratch_path
+from lettermill.session import count, materialize, scratch_path
 
 DATE = "2024-01-01T00:00:00Z"
-#: Records in one archive file.
-RECORDS = 4096
-#: Revisits broadcast to their records, about 100 bytes each.
+#: Records in one archive file, and bytes: records of up to SMALL bytes are RECORDS to a file, those of up to
+#: 4, 16, ... times that so many times fewer.
+RECORDS, SMALL = 4096, 1 << 14
+#: Digests and revisits broadcast to their records, about 100 bytes each.
 BROADCAST_REVISITS = 500_000
 #: Bytes inflated at a time.
 STEP = 1 << 16
 
-HEADERS = "record_id string, page_id long, uri string, digest string, payload_bytes long, kind string, refers_to_id string, refers_to long"
-#: raw: the whole record, where it is neither a response nor a revisit.
-RECORD = HEADERS + ", payload binary, raw binary"
+HEADERS = (
+    "record_id string, page_id long, uri string, digest string, payload_bytes long, kind string, refers_to_id string, refers_to long, date string, refers_to_uri string, refers_to_date string"
+)
+#: http: the HTTP head of responses and revisits. raw: the whole record, where it is neither.
+RECORD = HEADERS + ", http binary, payload binary, raw binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -53,34 +58,43 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def record(kind: Column, date: str = DATE) -> Column:
+def record(kind: Column) -> Column:
     """A record without its end, from columns as in RECORD. Revisits have HTTP headers and no payload, other kinds are as in raw."""
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes"), F.lit("\r\n\r\n"))
+    http = F.concat(F.col("http").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(kind == "response", F.concat(http, F.col("payload").cast("string"))).otherwise(http)
     profile = F.when(kind == "revisit", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     fresh = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri")),
+        F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("uri")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), _line("WARC-Profile", profile), _line("WARC-Refers-To", F.col("refers_to_id")),
-        _line("X-Page-ID", F.col("page_id")), _line("X-Refers-To-Page-ID", F.col("refers_to")),
+        _line("WARC-Refers-To-Target-URI", F.col("refers_to_uri")), _line("WARC-Refers-To-Date", F.col("refers_to_date")),
+        _line("X-Page-ID", F.col("page_id")), _line("X-Refers-To-Page-ID", F.col("refers_to")), _line("X-Payload-Length", F.when(kind == "revisit", F.col("payload_bytes"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), _line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block,
     )
     return F.coalesce(F.col("raw").cast("string"), fresh)
 
 
-def write(records: DataFrame, path: str, per_file: int = RECORDS, date: str = DATE) -> None:
-    """Write records (columns as in RECORD) as gzip archives below path."""
-    text = records.select(record(F.col("kind"), date).alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
+def write(records: DataFrame, path: str, per_file: int = RECORDS) -> None:
+    """Write records (columns as in RECORD) as gzip archives below path, each of per_file * SMALL bytes at most or of one record.
+
+    Records lie in folders by class of size and by their number in their task, so many to a folder as fit.
+    """
+    size = F.coalesce(F.octet_length("raw"), F.octet_length("payload"), F.lit(0))
+    cls = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / F.lit(SMALL)) / 2)).cast("int")
+    fit = F.greatest(F.lit(1), F.floor(F.lit(per_file) / F.pow(F.lit(4.0), cls))).cast("long")
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    text = records.select(record(F.col("kind")).alias("value"), cls.alias("size_class"), F.floor(nth / fit).alias("run"))
+    text.write.partitionBy("size_class", "run").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def page_records(pages: DataFrame) -> DataFrame:
+def page_records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """A response for each page: payload the html as UTF-8, empty for null. Every row gets an id of its own."""
     rows = pages.select("page_id", F.col("url").alias("uri"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"), F.monotonically_increasing_id().alias("uid"))
-    digest = base32_sha1(F.col("payload"))
+    digest, none = base32_sha1(F.col("payload")), F.lit(None).cast("string")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
     return rows.select(
         _uuid(F.col("uid"), F.col("page_id")).alias("record_id"), F.col("page_id").cast("long").alias("page_id"), "uri", digest.alias("digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit("response").alias("kind"), F.lit(None).cast("string").alias("refers_to_id"),
-        F.lit(None).cast("long").alias("refers_to"), "payload", F.lit(None).cast("binary").alias("raw"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.lit("response").alias("kind"), none.alias("refers_to_id"), F.lit(None).cast("long").alias("refers_to"),
+        F.lit(date).alias("date"), none.alias("refers_to_uri"), none.alias("refers_to_date"), http.cast("binary").alias("http"), "payload", F.lit(None).cast("binary").alias("raw"),
     )
 
 
@@ -144,21 +158,25 @@ def _parsed(frames: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataF
             rows, held = [], 0
             for before, head, block in _records(content):
                 kind = head.get("warc-type")
-                raw = None if kind in ("response", "revisit") else before + block
+                known = kind in ("response", "revisit") and head.get("content-type", "application/http").startswith("application/http")
+                raw = None if known else before + block
                 http, _, payload = block.partition(b"\r\n\r\n")
-                digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                if kind == "response":
+                digest, size = head.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
+                if raw is not None:
+                    http, payload, kind = None, b"", "other" if kind in ("response", "revisit") else kind
+                elif kind == "response":
                     own = base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324
-                    if digest and own != digest:
+                    if digest and own != digest and head["warc-payload-digest"].startswith("sha1:"):
                         raise ValueError(f"payload of {head.get('warc-record-id')} doesn't have its digest")
                     size, digest = len(payload), own
-                elif raw is not None:
-                    size, payload = None, b""
                 else:
                     found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-                    size = int(found[1]) if found else None
-                row = (head.get("warc-record-id"), number(head.get("x-page-id")), head.get("warc-target-uri"), digest, size, kind, head.get("warc-refers-to"), number(head.get("x-refers-to-page-id")))
-                rows.append((*row, payload, raw) if payloads else row)
+                    size = number(head.get("x-payload-length", found[1] if found else None))
+                row = (
+                    head.get("warc-record-id"), number(head.get("x-page-id")), head.get("warc-target-uri"), digest, size, kind, head.get("warc-refers-to"), number(head.get("x-refers-to-page-id")),
+                    head.get("warc-date"), head.get("warc-refers-to-target-uri"), head.get("warc-refers-to-date"),
+                )
+                rows.append((*row, http, payload, raw) if payloads else row)
                 held += len(payload) + len(raw or b"") if payloads else 0
                 if len(rows) >= 4096 or held >= 1 << 24:
                     yield _frame(rows, names)
@@ -172,60 +190,75 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of all types of the archives (.gz or .warc) below path, with or without payloads. Digests of responses are verified."""
+    """Records of all types of the archives (.gz or .warc) below path, with or without payloads. Digests of responses are verified.
+
+    Responses and revisits that aren't HTTP are of kind "other" and stay as they are.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInPandas(lambda frames: _parsed(frames, payloads), RECORD if payloads else HEADERS)
 
 
+#: What a revisit says of the response that it refers to.
+_REFERENCE = ("refers_to_id", "refers_to", "refers_to_uri", "refers_to_date")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if their number is bounded."""
+    return F.broadcast(rows) if count(rows) <= BROADCAST_REVISITS else rows
+
+
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """The records that revisit another: record_id, refers_to_id, refers_to (its page_id).
+    """The records that revisit another: record_id, and refers_to_id, refers_to (its page_id), refers_to_uri and refers_to_date.
 
     Of responses with equal payloads of least_bytes or more that with the largest page_id stays, of equal
     page_ids (null is smallest) that with the largest record id.
     """
-    rows = headers.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes)).select("digest", "payload_bytes", "page_id", "record_id")
-    kept = rows.groupBy("digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "record_id")).alias("kept"))
-    kept = kept.where("n > 1").select("digest", "payload_bytes", F.col("kept.record_id").alias("refers_to_id"), F.col("kept.page_id").alias("refers_to"))
-    return rows.join(kept, ["digest", "payload_bytes"]).where(F.col("record_id") != F.col("refers_to_id")).select("record_id", "refers_to_id", "refers_to")
+    rows = headers.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes)).select("digest", "payload_bytes", "page_id", "record_id", "uri", "date")
+    best = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "record_id", "uri", "date")).alias("kept")
+    kept = rows.groupBy("digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1")
+    kept = kept.select("digest", "payload_bytes", *(F.col(f"kept.{c}").alias(r) for c, r in zip(("record_id", "page_id", "uri", "date"), _REFERENCE, strict=True)))
+    # Digests of one record are gone before the join; a digest of very many has its records split among tasks.
+    return rows.join(_few(materialize(kept, "kept")), ["digest", "payload_bytes"]).where(F.col("record_id") != F.col("refers_to_id")).select("record_id", *_REFERENCE)
 
 
 def redirect(headers: DataFrame, revisits: DataFrame) -> DataFrame:
-    """The revisits among headers whose original is there: record_id, refers_to_id, refers_to, as resolve() leaves responses.
+    """The revisits among headers whose original is there: record_id and its reference, as resolve() leaves responses.
 
     The original is the response that a revisit names, else one of its digest (the largest page_id, then record id).
     """
-    moved = revisits.select(F.col("record_id").alias("__id"), F.col("refers_to_id").alias("__to"), F.col("refers_to").alias("__page"))
-    stays = headers.where("kind = 'response'").select("record_id", "digest", "page_id").join(moved, F.col("record_id") == F.col("__id"), "left")
+    moved = revisits.select(F.col("record_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in _REFERENCE))
+    stays = headers.where("kind = 'response'").select("record_id", "digest", "page_id", "uri", "date").join(moved, F.col("record_id") == F.col("__id"), "left")
     gone = F.col("__id").isNotNull()
-    stays = stays.select("record_id", "digest", F.when(gone, F.col("__to")).otherwise(F.col("record_id")).alias("to_id"), F.when(gone, F.col("__page")).otherwise(F.col("page_id")).alias("to_page"))
-    best = F.max(F.struct(F.col("to_page").isNotNull().alias("has"), "to_page", "to_id")).alias("best")
-    named, alike = (stays.groupBy(F.col(c).alias(f"__{c}")).agg(best.alias(f"by_{c}")) for c in ("record_id", "digest"))
-    old = headers.where("kind = 'revisit'").select("record_id", "refers_to_id", "digest").dropDuplicates(["record_id"])
-    old = old.join(named, F.col("refers_to_id") == F.col("__record_id"), "left").join(alike, F.col("digest") == F.col("__digest"), "left")
+    to = [F.when(gone, F.col(f"__{r}")).otherwise(F.col(c)).alias(r) for c, r in zip(("record_id", "page_id", "uri", "date"), _REFERENCE, strict=True)]
+    stays = stays.select("record_id", "digest", *to)
+    best = F.max(F.struct(F.col("refers_to").isNotNull().alias("has"), "refers_to", "refers_to_id", "refers_to_uri", "refers_to_date")).alias("best")
+    named, alike = (_few(materialize(stays.groupBy(F.col(c).alias(f"__{c}")).agg(best.alias(f"by_{c}")), "originals")) for c in ("record_id", "digest"))
+    old = headers.where("kind = 'revisit'").select("record_id", F.col("refers_to_id").alias("__old"), "digest").dropDuplicates(["record_id"])
+    old = old.join(named, F.col("__old") == F.col("__record_id"), "left").join(alike, F.col("digest") == F.col("__digest"), "left")
     found = F.coalesce("by_record_id", "by_digest")
-    return old.where(found.isNotNull()).select("record_id", found["to_id"].alias("refers_to_id"), found["to_page"].alias("refers_to"))
+    return old.where(found.isNotNull()).select("record_id", *(found[c].alias(c) for c in _REFERENCE))
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0, date: str = DATE) -> None:
+def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0, per_file: int = RECORDS) -> None:
     """Read the archives below source and write them below target, with revisits for repeated payloads.
 
     Revisits that source already has stay, and refer to the response that stays for theirs, if source has
-    one. Headers of both are written afresh; records of other types stay as they are.
+    one. Headers of both are written afresh, with the capture's own date, address and HTTP head; records of
+    other types stay as they are.
     """
     headers = materialize(read(spark, source, payloads=False).where("kind in ('response', 'revisit')"), "headers")
     revisits = materialize(resolve(headers, least_bytes), "revisits")
     if not headers.where("kind = 'revisit'").isEmpty():
         revisits = materialize(revisits.union(redirect(headers, revisits)), "redirected")
-    few = revisits.count() <= BROADCAST_REVISITS
-    revisits = revisits.select(F.col("record_id").alias("__id"), F.col("refers_to_id").alias("__to"), F.col("refers_to").alias("__page"))
-    rows = read(spark, source).join(F.broadcast(revisits) if few else revisits, F.col("record_id") == F.col("__id"), "left")
+    known = _few(revisits.select(F.col("record_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in _REFERENCE)))
+    rows = read(spark, source).join(known, F.col("record_id") == F.col("__id"), "left")
     again = F.col("__id").isNotNull()
     fresh = again & (F.col("kind") == "response")
     rows = rows.withColumns({
-        "kind": F.when(again, "revisit").otherwise(F.col("kind")), "refers_to_id": F.when(again, F.col("__to")).otherwise(F.col("refers_to_id")),
-        "refers_to": F.when(again, F.col("__page")).otherwise(F.col("refers_to")), "record_id": F.when(fresh, _uuid(F.col("record_id"), F.lit("revisit"))).otherwise(F.col("record_id")),
+        **{c: F.when(again, F.col(f"__{c}")).otherwise(F.col(c)) for c in _REFERENCE},
+        "kind": F.when(again, "revisit").otherwise(F.col("kind")), "record_id": F.when(fresh, _uuid(F.col("record_id"), F.lit("revisit"))).otherwise(F.col("record_id")),
     })
-    write(rows, target, date=date)
+    write(rows, target, per_file)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
