@@ -5,13 +5,14 @@ node. A node branches by positions drawn from its own name: a point goes to one
 position, named by the position and the point's minwise token there, 1/similarity children on average,
 so that points as similar as the threshold stay together about as often as they are split. Independent
 trees repeat this. Nodes of a few points are compared exhaustively; larger ones are compared against a
-pivot, and branch on while they hold points that are not yet in one cluster of candidates. Each level may
-part a pair, so points that are still in large mixed nodes get further trees, as many as the depth needs to
-keep the chance to miss a link below MISS. What still is large and mixed when branching no longer thins it
-out becomes one cluster, so no candidate is dropped.
-
-Clusters of candidates are then compared exhaustively on their full shingle sets, in blocks of bounded
-size when a cluster is large, and only the links of a spanning forest leave a block. Equal sets were
+pivot, end with a comparison of what is outside their largest cluster of candidates if that is a few points, and branch on
+otherwise. What stays apart is less similar to the pivot than candidates are, so that every level thins such nodes out.
+Each level may part a pair, so points that are still in large mixed nodes get further trees, as many as the
+depth needs to keep the chance to miss a link below MISS.
+
+Clusters of candidates are then compared on their full shingle sets, in blocks of bounded size: each with its
+own and with a few pivots of its cluster first; what is linked then needs no more comparisons, and only the points
+outside a cluster's largest part meet all of its blocks. Only the links of a spanning forest leave a block. Equal sets were
 merged at the start, and pairs within a group are never written out.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql.types import DoubleType
 
 from lettermill.llm.words import mix, shingles
 from lettermill.operators.graph import connected_components
-from lettermill.session import materialize
+from lettermill.session import count, materialize
 
 POSITIONS = 64
 #: Trees over all points; deeper nodes get more (see trees_for).
@@ -40,22 +41,22 @@ TREES = 12
 MISS, MOST_TREES = 1e-4, 1000
 #: Nodes of up to this many points are compared exhaustively.
 SMALL = 16
-LEVELS = 12
-#: Branching ends early when a level leaves more than this share of the rows in large mixed nodes: what is
-#: left is about as similar as the threshold asks for, and would not thin out.
-THINNING = 0.7
-#: Standard deviations by which a pair's estimate may fall short of the threshold.
-SLACK = 4.0
-#: Points, and shingles, of one block in the final comparison.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
-#: Clusters' members are broadcast to find their texts up to this number, and joined by a shuffle beyond.
+#: Larger ones end as well where the pairs of those outside their largest cluster with all others are no more than this.
+PAIRS = 1 << 15
+#: Levels after which what is still large and mixed is compared exhaustively, too.
+LEVELS = 64
+#: The chance that the sketches of a pair right at the threshold agree so little that it isn't a candidate.
+UNLIKE = 1e-6
+#: Points, and shingles, of one block in the final comparison, and pivots that each block of a cluster meets.
+BLOCK, BLOCK_SHINGLES, PIVOTS = 1024, 1_000_000, 4
+#: Members, nodes and keys that are broadcast to what they are looked up for; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 
-SIGNATURE = "uid long, doc_id string, key long, n_shingles long, digest string, sketch binary, mini binary"
+SIGNATURE = "uid long, doc_id string, key long, th long, n_shingles long, digest string, sketch binary, mini binary"
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -89,7 +90,7 @@ def _signatures(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataF
             sk = sketch([sets[i] for i in full])
             rows = dict(zip(full, sk, strict=True))
             yield pd.DataFrame({
-                "uid": part["uid"], "doc_id": part["doc_id"], "key": part["key"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) for s in sets],
+                "uid": part["uid"], "doc_id": part["doc_id"], "key": part["key"], "th": part["th"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) for s in sets],
                 "sketch": [rows[i].tobytes() if i in rows else None for i in range(len(sets))],
                 "mini": [rows[i].astype(np.uint8).tobytes() if i in rows else None for i in range(len(sets))],
             })
@@ -111,22 +112,28 @@ def branch(nodes: np.ndarray, sk: np.ndarray, similarity: float) -> tuple[np.nda
     return np.concatenate(rows), np.concatenate(names)
 
 
+def agreement_cut(similarity: float) -> int:
+    """The positions in which candidates' sketches agree at least: a pair at the threshold has fewer with a chance of UNLIKE."""
+    below, k = 0.0, 0
+    while below + (more := comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k)) <= UNLIKE:
+        below, k = below + more, k + 1
+    return k
+
+
 def missed(similarity: float, depth: int, trees: int) -> float:
-    """The chance that trees part a pair of that similarity within so many levels, in each of them.
+    """The chance that a pair of that similarity is missed: by its sketches, or parted within so many levels in each tree.
 
     Sketches agree in a binomial number of positions; given that, a pair's common nodes are a branching
-    process, and trees are independent. Pairs that the sketches' cut drops don't count.
+    process, and trees are independent.
     """
-    own, cut, lost = floor(1 / similarity), similarity - SLACK * (similarity * (1 - similarity) / POSITIONS) ** 0.5, 0.0
+    own, cut, lost = floor(1 / similarity), agreement_cut(similarity), 0.0
     more = 1 / similarity - own
     for k in range(POSITIONS + 1):
-        if k / POSITIONS < cut:
-            continue
         gone = 0.0
         for _ in range(depth):
             child = 1 - k / POSITIONS * (1 - gone)
             gone = child**own * (1 - more + more * child)
-        lost += comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) * gone**trees
+        lost += comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) * (gone**trees if k >= cut else 1.0)
     return lost
 
 
@@ -159,61 +166,90 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if their number is bounded."""
+    return F.broadcast(rows) if count(rows) <= BROADCAST_ROWS else rows
+
+
 def _similar(pairs: DataFrame, minis: DataFrame, cut: float) -> DataFrame:
-    """Pairs (p, q) whose sketches agree in the share cut at least."""
+    """Pairs (p, q, ...) whose sketches agree in the share cut at least."""
     both = pairs.join(minis.select(F.col("point").alias("p"), F.col("mini").alias("mp")), "p").join(
         minis.select(F.col("point").alias("q"), F.col("mini").alias("mq")), "q"
     )
-    return both.where(agreement("mp", "mq") >= cut).select("p", "q")
+    return both.where(agreement("mp", "mq") >= cut).select(*pairs.columns)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None, *ends: str) -> DataFrame:
+    """rows with the roots of their points in ends, as columns r_<end>; a point without a candidate is its own."""
+    for end in ends:
+        if roots is None:
+            rows = rows.withColumn(f"r_{end}", F.col(end))
+        else:
+            own = roots.select(F.col("point").alias(f"__{end}"), F.col("root").alias(f"r_{end}"))
+            rows = rows.join(own, F.col(end) == F.col(f"__{end}"), "left").drop(f"__{end}").withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
+    return rows
+
+
+def _joined(roots: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """roots (point, root) after merged (node, root), which maps roots, or points that had none, to new ones."""
+    if roots is None:
+        return merged.withColumnRenamed("node", "point")
+    moved = roots.join(merged.select("node", F.col("root").alias("__new")), F.col("root") == F.col("node"), "left").select("point", F.coalesce("__new", "root").alias("root"))
+    new = merged.join(roots.select("point"), F.col("node") == F.col("point"), "left_anti").select(F.col("node").alias("point"), "root")
+    return moved.union(new)
 
 
 def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
-    """(node, root): clusters that hold every candidate pair. points: point, n, sketch, mini.
+    """(point, root): clusters that hold every candidate pair. points: point, n, sketch, mini.
 
     The trees are started over all points. After each level, points still in large mixed nodes get as many
     more as trees_for asks for at the next level: a pair that comes so far in one tree has had that many.
-    A row's born is the level after which its tree was started.
+    A row's born is the level after which its tree was started. Candidates of a level are merged with the clusters so far
+    by their roots alone.
     """
-    cut = similarity - SLACK * (similarity * (1 - similarity) / POSITIONS) ** 0.5
+    cut = agreement_cut(similarity) / POSITIONS - 1e-9
     shape = "born int, node long, point long, n long"
     minis = points.select("point", "mini")
     fits = lambda m, n: F.least(m, n) >= F.lit(similarity - 1e-9) * F.greatest(m, n)
     grown = lambda rows, *new: rows.mapInPandas(partial(_branched, similarity=similarity, trees=new or (0, 0)), shape)
+
+    def merged(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        apart = _rooted(pairs.distinct(), roots, "p", "q").where("r_p != r_q")
+        return _joined(roots, connected_components(_similar(apart, minis, cut), "r_p", "r_q"))
+
     rows = grown(points.select(F.lit(0).alias("born"), "point", "n", "sketch"), 0, trees)
-    edges, before, level = None, {}, 0
+    roots, level, more = None, 0, None
     while True:
         level += 1
-        # The pivot is another point for each node: the smallest by a hash of both.
-        rank = F.struct(F.xxhash64("node", "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"))
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("first")).where("size > 1")
-        level_rows = materialize(rows.join(size.select("node", "size", "first.pivot", "first.pivot_n"), "node"), f"level{level}")
-        few = level_rows.where(F.col("size") <= small)
-        a, b = (few.select("node", F.col("point").alias(k), F.col("n").alias(f"n{k}")) for k in "pq")
-        pairs = a.join(b, "node").where("p < q").where(fits(F.col("np"), F.col("nq"))).select("p", "q")
-        many = level_rows.where((F.col("size") > small) & (F.col("point") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
-        pairs = pairs.union(many.select(F.least("point", "pivot").alias("p"), F.greatest("point", "pivot").alias("q"))).distinct()
-        found = materialize(_similar(pairs, minis, cut), "candidates")
-        edges = found if edges is None else edges.union(found)
-        clusters = connected_components(edges, "p", "q")
-        large = level_rows.where(F.col("size") > small).select("born", "node", "point", "n")
-        if large.isEmpty():
-            return clusters
-        named = large.join(clusters.select(F.col("node").alias("point"), "root"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-        mixed = named.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("node")
-        left = materialize(named.join(mixed, "node").select("born", "node", "point", "n"), f"mixed{level}")
-        now = {r["born"]: r["count"] for r in left.groupBy("born").count().collect()}
-        if not now:
-            return clusters
-        ended = [k for k in now if level - k >= levels or k in before and now[k] > THINNING * before[k]]
-        if ended:
-            over = left.where(F.col("born").isin(ended))
-            edges = edges.union(over.join(over.groupBy("node").agg(F.min("point").alias("q")), "node").select(F.col("point").alias("p"), "q"))
-            if len(ended) == len(now):
-                return connected_components(edges, "p", "q")
-            left = left.where(~F.col("born").isin(ended))
-        before = now
+        rows = materialize(rows, f"rows{level}")
+        # The pivot is the smallest point by a hash, another order at each level, the same one in all trees.
+        rank = F.struct(F.xxhash64(F.lit(level), "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"))
+        large = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("first")).where(F.col("size") > small)
+        large = _few(materialize(large.select("node", "first.pivot", "first.pivot_n"), f"nodes{level}"))
+        # Rows of large nodes meet their pivot where they lie; only those of small ones are brought together.
+        few = rows.join(large.select("node"), "node", "left_anti").groupBy("node").agg(F.collect_list(F.struct("point", "n")).alias("x")).where(F.size("x") > 1)
+        later = F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["point"] < b["point"]) & fits(a["n"], b["n"])), lambda b: F.struct(a["point"].alias("p"), b["point"].alias("q"))))
+        pairs = few.select(F.explode(F.flatten(later)).alias("pair")).select("pair.p", "pair.q")
+        many = rows.join(large, "node").where((F.col("point") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
+        pairs = pairs.union(many.select(F.least("point", "pivot"), F.greatest("point", "pivot")))
+        roots = materialize(merged(pairs if more is None else pairs.union(more), roots), f"roots{level}")
+        inside = _rooted(rows.join(large.select("node"), "node"), roots, "point")
+        parts = inside.groupBy("node", "r_point").agg(F.count(F.lit(1)).alias("size"))
+        parts = parts.groupBy("node").agg(F.sum("size").alias("all"), F.max(F.struct("size", "r_point")).alias("most"))
+        mixed = parts.select("node", F.col("most.r_point").alias("main"), "all", (F.col("all") - F.col("most.size")).alias("out")).where("out > 0")
+        mixed = materialize(mixed, f"mixed{level}")
+        # A node with few points outside its largest cluster ends: those are compared with all of it.
+        mixed = mixed.withColumn("ends", F.lit(level >= levels) | (F.col("out") <= small) | (F.col("out") * F.col("all") <= PAIRS))
+        ends = mixed.where("ends")
+        outside = inside.join(_few(ends), "node").where("r_point != main").groupBy("node").agg(F.collect_list(F.struct("point", "n")).alias("x"))
+        each = inside.join(_few(materialize(outside, f"outside{level}")), "node").select("point", "n", F.explode("x").alias("x")).where(F.col("point") != F.col("x.point"))
+        more = each.where(fits(F.col("n"), F.col("x.n"))).select(F.least("point", "x.point").alias("p"), F.greatest("point", "x.point").alias("q"))
+        left = rows.join(_few(mixed.where("not ends").select("node")), "node")
+        born = [r["born"] for r in left.select("born").distinct().collect()]  # levels
+        if not born:
+            return merged(more, roots)
         rows = grown(left.join(points.select("point", "sketch"), "point").select("born", "node", "point", "n", "sketch"))
-        wanted = max(trees_for(similarity, level - k + 1) for k in now if k not in ended)
+        wanted = max(trees_for(similarity, level - k + 1) for k in born)
         if wanted > trees:
             again = left.select("point").distinct().join(points, "point").select(F.lit(level).alias("born"), "point", "n", "sketch")
             rows = rows.union(grown(again, trees, wanted))
@@ -221,13 +257,11 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
 
 
 def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Full sets of the texts; a text that isn't the one meant (its doc_id is in use twice) goes."""
+    """Full sets of the texts."""
     for pdf in frames:
         for at in range(0, len(pdf), 256):
             part = pdf.iloc[at : at + 256]
-            sets = [shingles(t, width) for t in part["text"]]
-            own = [digest(s) == d for s, d in zip(sets, part["digest"], strict=True)]
-            yield part.drop(columns=["text", "digest"]).assign(shingles=[s.tobytes() for s in sets])[own]
+            yield part.drop(columns=["text"]).assign(shingles=[shingles(t, width).tobytes() for t in part["text"]])
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -237,13 +271,14 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], num: int, den: int, first: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with den * intersection >= num * union, by exhaustive comparison.
 
-    Shingles that one set alone has can't count; the others make a 0/1 matrix whose products, taken over
-    bounded runs of columns, are the intersections.
+    With first, only pairs with one of so many first sets are compared. Shingles that one set alone has can't count; the
+    others make a 0/1 matrix whose products, taken over bounded runs of columns, are the intersections.
     """
     n = len(sets)
+    m = n if first is None else first
     size = np.array([len(s) for s in sets], np.int64)
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(tokens, kind="stable")
@@ -252,17 +287,17 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1
     column, owner = column[shared], owner[shared]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((m, n), np.float32)
     if len(column):
         column = np.unique(column, return_inverse=True)[1]
         step = max(64, (1 << 22) // n)
         for lo in range(0, int(column[-1]) + 1, step):
             a, b = np.searchsorted(column, (lo, lo + step))
-            m = np.zeros((n, step), np.float32)
-            m[owner[a:b], column[a:b] - lo] = 1
-            common += m @ m.T
+            x = np.zeros((n, step), np.float32)
+            x[owner[a:b], column[a:b] - lo] = 1
+            common += x[:m] @ x.T
     common = common.astype(np.int64)
-    ok = np.triu(den * common >= num * (size[:, None] + size[None, :] - common), 1)
+    ok = np.triu(den * common >= num * (size[:m, None] + size[None, :] - common), 1)
     parent, forest = list(range(n)), []
     for i, j in zip(*np.nonzero(ok), strict=True):
         ri, rj = _find(parent, i), _find(parent, j)
@@ -272,10 +307,11 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return forest
 
 
-def _verified(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("point")
-    point = pdf["point"].to_numpy()
-    forest = linked([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], num, den) if len(pdf) > 1 else []
+def _verified(pdf: pd.DataFrame, num: int, den: int, asked: bool = False) -> pd.DataFrame:
+    """Links of a block; with asked, only those of points asked for."""
+    pdf = pdf.sort_values("asked", ascending=False, kind="stable").drop_duplicates("point")
+    point, m = pdf["point"].to_numpy(), int(pdf["asked"].sum()) if asked else len(pdf)
+    forest = linked([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], num, den, m) if len(pdf) > 1 and m else []
     return pd.DataFrame({"p": [point[i] for i, _ in forest], "q": [point[j] for _, j in forest]}, dtype="int64")
 
 
@@ -290,15 +326,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     name of a column of numbers, key and root (a number for each group, null without shingles) come as well.
     """
     own_key = F.lit(0) if key is None else F.col(key)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_key.cast("long").alias("key"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_key.cast("long").alias("key"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     # Ids pass Python as strings, since pandas would make floats of numbers with nulls among them.
     rows = texts.withColumn("uid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string"))
     rows = rows.mapInPandas(partial(_signatures, width=width), SIGNATURE)
     signed = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
-    first = F.min(F.struct("uid", "doc_id", F.col("n_shingles").alias("n"), "sketch", "mini")).alias("first")
+    first = F.min(F.struct("uid", "doc_id", "th", F.col("n_shingles").alias("n"), "sketch", "mini")).alias("first")
     points = materialize(
         signed.where("n_shingles > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least"))
-        .select("digest", F.col("first.uid").alias("point"), "first.doc_id", "first.n", "first.sketch", "first.mini", "least"), "points",
+        .select("digest", F.col("first.uid").alias("point"), "first.doc_id", "first.th", "first.n", "first.sketch", "first.mini", "least"), "points",
     )
     clusters = candidate_clusters(points.select("point", "n", "sketch", "mini"), percent / 100, trees, small, levels)
     edges = _confirmed(texts, points, clusters, width, percent, block)
@@ -327,7 +363,7 @@ def distinct(docs: DataFrame, width: int = 5, percent: int = 80, **options: int)
     each = each.join(keep, F.col("__lm_id").eqNullSafe(F.col("i")) & (F.col("__lm_key") == F.col("k")), "left")
     each = materialize(each.where("k is null or n > 1").select("__lm_id", "__lm_key", F.col("k").isNotNull().alias("stays")), "keys")
     sought = each.withColumnRenamed("stays", "__lm_stays")
-    sought = F.broadcast(sought) if each.count() <= BROADCAST_ROWS else sought
+    sought = F.broadcast(sought) if count(each) <= BROADCAST_ROWS else sought
     same = keyed["doc_id"].eqNullSafe(F.col("__lm_id")) & (F.col("__lm_text") == F.col("__lm_key"))
     left = keyed.join(sought, same, "left").where(F.col("__lm_key").isNull() | F.col("__lm_stays"))
     if each.where("stays").isEmpty():
@@ -338,14 +374,41 @@ def distinct(docs: DataFrame, width: int = 5, percent: int = 80, **options: int)
 
 
 def _confirmed(texts: DataFrame, points: DataFrame, clusters: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links (p, q) of a spanning forest of each cluster, on the full sets."""
-    members = clusters.withColumnRenamed("node", "point").join(points.select("point", "digest", "doc_id", "n"), "point")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = materialize(members.join(sizes, "root").select("root", "point", "digest", "doc_id", "blocks"), "members")
-    sought = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    sets = texts.join(sought, texts["doc_id"].eqNullSafe(members["doc_id"])).select("root", "point", "digest", "blocks", "text")
-    sets = sets.mapInPandas(partial(_sets, width=width), "root long, point long, blocks int, shingles binary")
-    mine = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("root", F.least(mine, "other").alias("i"), F.greatest(mine, "other").alias("j"), "point", "shingles")
-    return sets.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verified(pdf, percent, 100), "p long, q long")
+    """Links (p, q) that connect all linked points of each cluster, on the full sets."""
+    shape = "p long, q long"
+    members = clusters.join(points.select("point", "doc_id", "th", "n"), "point")
+    need = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("root").agg(need("n").alias("blocks"))
+    members = materialize(members.join(sizes, "root").select("root", "point", "doc_id", "th", "n", "blocks"), "members")
+    sought = _few(members.select("root", "point", "n", "blocks", F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
+    sets = texts.join(sought, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+    # Rows that repeat id and text come once, whatever their number, as they are merged before the shuffle.
+    sets = sets.groupBy("root", "point", "n", "blocks").agg(F.first("text").alias("text"))
+    sets = sets.mapInPandas(partial(_sets, width=width), "root long, point long, n long, blocks int, shingles binary")
+    sets = materialize(sets.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")), "sets")
+    # Each block with itself, and with the pivots of its cluster.
+    large = sets.where("blocks > 1")
+    first = [F.min(F.struct(F.xxhash64(F.lit(k), "point").alias("h"), "point"))["point"] for k in range(PIVOTS)]
+    pivots = large.select("root", "point").groupBy("root").agg(F.array_distinct(F.array(*first)).alias("x")).select(F.col("root").alias("__root"), F.explode("x").alias("__point"))
+    pivots = large.join(_few(materialize(pivots, "pivots")), (F.col("root") == F.col("__root")) & (F.col("point") == F.col("__point")))
+    fields = ["root", "blocks", "point", "shingles"]
+    rows = sets.select(*fields, "block", F.lit(True).alias("asked")).union(pivots.select(*fields, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.lit(False)))
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _verified(pdf, percent, 100).assign(large=bool(pdf["blocks"].iloc[0] > 1))
+
+    near = materialize(rows.groupBy("root", "block").applyInPandas(own, shape + ", large boolean"), "near")
+    # Points outside the largest part of a cluster with all its blocks.
+    parts = connected_components(near.where("large"), "p", "q").withColumnRenamed("node", "point")
+    held = materialize(_rooted(large.select("root", "point", "n"), parts, "point"), "held")
+    most = held.groupBy("root", "r_point").agg(F.count(F.lit(1)).alias("size")).groupBy("root").agg(F.max(F.struct("size", "r_point"))["r_point"].alias("most"))
+    outside = materialize(held.join(most, "root").where("r_point != most").select("root", "point", "n"), "outside")
+    if outside.isEmpty():
+        return near.select("p", "q")
+    runs = _few(materialize(outside.groupBy(F.col("root").alias("__root")).agg(need("n").alias("runs")), "runs"))
+    there = large.join(runs, F.col("root") == F.col("__root"))
+    asked = there.join(_few(outside.select(F.col("point").alias("__point"))), F.col("point") == F.col("__point"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.select("root", F.pmod(F.xxhash64("point"), F.col("runs")).cast("int").alias("run"), every("blocks").alias("block"), F.lit(True).alias("asked"), "point", "shingles")
+    rows = asked.union(there.select("root", every("runs"), "block", F.lit(False), "point", "shingles"))
+    return near.select("p", "q").union(rows.groupBy("root", "run", "block").applyInPandas(lambda pdf: _verified(pdf, percent, 100, asked=True), shape))
