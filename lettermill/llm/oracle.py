@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators' queries that SQL can express, written from their contracts.
 
-The language models and trees of op2 and op8, the templates of op1 and the hash of op9 have no SQL.
+The classifiers of op2 and op8 and the templates of op1 have no SQL.
 """
 
 from __future__ import annotations
@@ -101,6 +101,26 @@ WITH split_ AS (
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM scored, cut
 """
 
+_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+
+
+def _places(phrase: str) -> str:
+    words = phrase.split()
+    here = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {here})"
+
+
+LICENSE_BASE = f"""
+WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents
+), found AS (
+  SELECT doc_id, len(w) AS n, [{", ".join(f"struct_pack(label := '{x}', pos := {_places(p)})" for p, x in _PHRASES.items())}] AS f FROM docs
+), placed AS (SELECT doc_id, n, list_filter(f, lambda x: len(x.pos) > 0) AS f, flatten(list_transform(f, lambda x: x.pos)) AS pos FROM found)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(pos) AS BIGINT) AS n_base, CAST(list_min(pos) - 1 AS BIGINT) AS first_word, CAST(list_max(pos) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_transform(f, lambda x: x.label)), ',') AS base_labels
+FROM placed
+"""
+
+
 def _pass(n: int, above: str) -> str:
     """A pass over the documents behind a hash: where the budget ends, and what is left of it."""
     return f"""p{n} AS (
@@ -140,6 +160,7 @@ FROM marked m LEFT JOIN last ON m.source IS NOT DISTINCT FROM last.source
 """
 
 ORACLE_SQL = {
+    "license_base_phrases": LICENSE_BASE,
     "op9_source_mixing": MIXING,
     "op3_benchmark_decontamination": DECONTAMINATION,
     "op4_minhash_near_dedup": NEAR_DUPLICATES,
