@@ -42,7 +42,9 @@ MISS, MOST_TREES = 1e-4, 1000
 #: Nodes of up to this many points are compared exhaustively.
 SMALL = 16
 #: Larger ones end as well where the pairs of those outside their largest cluster with all others are no more than this.
-PAIRS = 1 << 15
+PAIRS = 1 << 14
+#: All end when what is outside the largest clusters needs no more comparisons than this in all.
+REST = 1 << 21
 #: Levels after which what is still large and mixed is compared exhaustively, too.
 LEVELS = 64
 #: The chance that the sketches of a pair right at the threshold agree so little that it isn't a candidate.
@@ -56,7 +58,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)
 
-SIGNATURE = "uid long, doc_id string, key long, th long, n_shingles long, digest string, sketch binary, mini binary"
+SIGNATURE = "uid long, doc_id string, key long, th long, n_shingles long, digest string, sketch binary"
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -92,7 +94,6 @@ def _signatures(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataF
             yield pd.DataFrame({
                 "uid": part["uid"], "doc_id": part["doc_id"], "key": part["key"], "th": part["th"], "n_shingles": [len(s) for s in sets], "digest": [digest(s) for s in sets],
                 "sketch": [rows[i].tobytes() if i in rows else None for i in range(len(sets))],
-                "mini": [rows[i].astype(np.uint8).tobytes() if i in rows else None for i in range(len(sets))],
             })
 
 
@@ -144,17 +145,35 @@ def trees_for(similarity: float, depth: int) -> int:
 
 
 def _branched(frames: Iterator[pd.DataFrame], similarity: float, trees: tuple[int, int] = (0, 0)) -> Iterator[pd.DataFrame]:
-    """Rows (point, n, sketch) for each tree of a range, or (node, ...) below the root, to rows (born, node, point, n) of the children."""
+    """Rows (born, point, n, sketch) for each tree of a range, or (born, node, ...) below the root, to rows ROW of the children."""
     for pdf in frames:
         if not len(pdf):
             continue
         sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(len(pdf), POSITIONS)
-        point, n = pdf["point"].to_numpy(), pdf["n"].to_numpy()
-        born = pdf["born"].to_numpy()
+        point, n, born = (pdf[c].to_numpy() for c in ("point", "n", "born"))
+        mini = np.array([row.tobytes() for row in sk.astype(np.uint8)], object)
         starts = [pdf["node"].to_numpy().view(np.uint64)] if "node" in pdf else [np.full(len(pdf), t + 1, np.uint64) for t in range(*trees)]
         for nodes in starts:
             rows, names = branch(nodes, sk, similarity)
-            yield pd.DataFrame({"born": born[rows], "node": names.view(np.int64), "point": point[rows], "n": n[rows]})
+            yield pd.DataFrame({"born": born[rows], "node": names.view(np.int64), "point": point[rows], "n": n[rows], "mini": mini[rows]})
+
+
+ROW = "born int, node long, point long, n long, mini binary"
+
+
+def _matched(frames: Iterator[pd.DataFrame], similarity: float, cut: int) -> Iterator[pd.DataFrame]:
+    """Nodes' points, lengths and minis (arrays) to their candidate pairs (p, q)."""
+    for pdf in frames:
+        p, q = [], []
+        for point, n, mini in zip(pdf["points"], pdf["ns"], pdf["minis"], strict=True):
+            x, point, n = np.frombuffer(b"".join(mini), np.uint8).reshape(len(mini), -1), np.asarray(point), np.asarray(n)
+            i, j = np.triu_indices(len(x), 1)
+            ok = (np.minimum(n[i], n[j]) >= (similarity - 1e-9) * np.maximum(n[i], n[j])) & (point[i] != point[j])
+            i, j = i[ok], j[ok]
+            ok = (x[i] == x[j]).sum(axis=1) >= cut
+            p.append(np.minimum(point[i[ok]], point[j[ok]]))
+            q.append(np.maximum(point[i[ok]], point[j[ok]]))
+        yield pd.DataFrame({"p": np.concatenate([np.zeros(0, np.int64), *p]), "q": np.concatenate([np.zeros(0, np.int64), *q])})
 
 
 @F.pandas_udf(DoubleType())
@@ -171,14 +190,6 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if count(rows) <= BROADCAST_ROWS else rows
 
 
-def _similar(pairs: DataFrame, minis: DataFrame, cut: float) -> DataFrame:
-    """Pairs (p, q, ...) whose sketches agree in the share cut at least."""
-    both = pairs.join(minis.select(F.col("point").alias("p"), F.col("mini").alias("mp")), "p").join(
-        minis.select(F.col("point").alias("q"), F.col("mini").alias("mq")), "q"
-    )
-    return both.where(agreement("mp", "mq") >= cut).select(*pairs.columns)
-
-
 def _rooted(rows: DataFrame, roots: DataFrame | None, *ends: str) -> DataFrame:
     """rows with the roots of their points in ends, as columns r_<end>; a point without a candidate is its own."""
     for end in ends:
@@ -200,51 +211,55 @@ def _joined(roots: DataFrame | None, merged: DataFrame) -> DataFrame:
 
 
 def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
-    """(point, root): clusters that hold every candidate pair. points: point, n, sketch, mini.
+    """(point, root): clusters that hold every candidate pair. points: point, n, sketch.
 
     The trees are started over all points. After each level, points still in large mixed nodes get as many
     more as trees_for asks for at the next level: a pair that comes so far in one tree has had that many.
     A row's born is the level after which its tree was started. Candidates of a level are merged with the clusters so far
     by their roots alone.
     """
-    cut = agreement_cut(similarity) / POSITIONS - 1e-9
-    shape = "born int, node long, point long, n long"
-    minis = points.select("point", "mini")
+    cut = agreement_cut(similarity)
     fits = lambda m, n: F.least(m, n) >= F.lit(similarity - 1e-9) * F.greatest(m, n)
-    grown = lambda rows, *new: rows.mapInPandas(partial(_branched, similarity=similarity, trees=new or (0, 0)), shape)
+    alike = lambda a, b: agreement(a, b) * POSITIONS >= cut - 0.5
+    grown = lambda rows, *new: rows.mapInPandas(partial(_branched, similarity=similarity, trees=new or (0, 0)), ROW)
 
     def merged(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
         apart = _rooted(pairs.distinct(), roots, "p", "q").where("r_p != r_q")
-        return _joined(roots, connected_components(_similar(apart, minis, cut), "r_p", "r_q"))
+        return _joined(roots, connected_components(apart, "r_p", "r_q"))
 
     rows = grown(points.select(F.lit(0).alias("born"), "point", "n", "sketch"), 0, trees)
     roots, level, more = None, 0, None
     while True:
         level += 1
-        rows = materialize(rows, f"rows{level}")
-        # The pivot is the smallest point by a hash, another order at each level, the same one in all trees.
-        rank = F.struct(F.xxhash64(F.lit(level), "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"))
-        large = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(rank).alias("first")).where(F.col("size") > small)
-        large = _few(materialize(large.select("node", "first.pivot", "first.pivot_n"), f"nodes{level}"))
-        # Rows of large nodes meet their pivot where they lie; only those of small ones are brought together.
-        few = rows.join(large.select("node"), "node", "left_anti").groupBy("node").agg(F.collect_list(F.struct("point", "n")).alias("x")).where(F.size("x") > 1)
-        later = F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["point"] < b["point"]) & fits(a["n"], b["n"])), lambda b: F.struct(a["point"].alias("p"), b["point"].alias("q"))))
-        pairs = few.select(F.explode(F.flatten(later)).alias("pair")).select("pair.p", "pair.q")
-        many = rows.join(large, "node").where((F.col("point") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
+        # Nodes of one point are gone before anything but their name is moved.
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        rows = materialize(rows.join(_few(materialize(sizes, f"sizes{level}")), "node"), f"rows{level}")
+        few, large = rows.where(F.col("size") <= small), rows.where(F.col("size") > small)
+        packed = few.groupBy("node").agg(F.collect_list(F.struct("point", "n", "mini")).alias("x"))
+        packed = packed.select(*(F.col(f"x.{c}").alias(f"{c}s") for c in ("point", "n", "mini")))
+        pairs = packed.mapInPandas(partial(_matched, similarity=similarity, cut=cut), "p long, q long")
+        # The pivot is the smallest point by a hash, another order at each level, the same one in all trees. Rows meet it where they lie.
+        pivot = F.min(F.struct(F.xxhash64(F.lit(level), "point").alias("h"), F.col("point").alias("pivot"), F.col("n").alias("pivot_n"), F.col("mini").alias("pivot_mini"))).alias("x")
+        pivots = materialize(large.groupBy("node").agg(pivot).select("node", "x.pivot", "x.pivot_n", "x.pivot_mini"), f"pivots{level}")
+        many = large.join(_few(pivots), "node").where((F.col("point") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).where(alike("mini", "pivot_mini"))
         pairs = pairs.union(many.select(F.least("point", "pivot"), F.greatest("point", "pivot")))
         roots = materialize(merged(pairs if more is None else pairs.union(more), roots), f"roots{level}")
-        inside = _rooted(rows.join(large.select("node"), "node"), roots, "point")
-        parts = inside.groupBy("node", "r_point").agg(F.count(F.lit(1)).alias("size"))
-        parts = parts.groupBy("node").agg(F.sum("size").alias("all"), F.max(F.struct("size", "r_point")).alias("most"))
-        mixed = parts.select("node", F.col("most.r_point").alias("main"), "all", (F.col("all") - F.col("most.size")).alias("out")).where("out > 0")
+        inside = _rooted(large, roots, "point")
+        parts = inside.groupBy("node", "r_point").agg(F.count(F.lit(1)).alias("part"))
+        parts = parts.groupBy("node").agg(F.sum("part").alias("all"), F.max(F.struct("part", "r_point")).alias("most"))
+        mixed = parts.select("node", F.col("most.r_point").alias("main"), "all", (F.col("all") - F.col("most.part")).alias("out")).where("out > 0")
         mixed = materialize(mixed, f"mixed{level}")
-        # A node with few points outside its largest cluster ends: those are compared with all of it.
-        mixed = mixed.withColumn("ends", F.lit(level >= levels) | (F.col("out") <= small) | (F.col("out") * F.col("all") <= PAIRS))
-        ends = mixed.where("ends")
-        outside = inside.join(_few(ends), "node").where("r_point != main").groupBy("node").agg(F.collect_list(F.struct("point", "n")).alias("x"))
-        each = inside.join(_few(materialize(outside, f"outside{level}")), "node").select("point", "n", F.explode("x").alias("x")).where(F.col("point") != F.col("x.point"))
-        more = each.where(fits(F.col("n"), F.col("x.n"))).select(F.least("point", "x.point").alias("p"), F.greatest("point", "x.point").alias("q"))
-        left = rows.join(_few(mixed.where("not ends").select("node")), "node")
+        # A node with little to compare outside its largest cluster ends, and all end when little is left in all.
+        rest = mixed.agg(F.coalesce(F.sum(F.col("out") * F.col("all")), F.lit(0)).alias("pairs")).first().pairs
+        last = F.lit(level >= levels or rest <= REST)
+        mixed = mixed.withColumn("ends", last | (F.col("out") <= small) | (F.col("out") * F.col("all") <= PAIRS))
+        known = _few(mixed.where("ends").select("node", "main"))
+        outside = inside.join(known, "node").where("r_point != main").select("node", F.col("point").alias("o"), F.col("n").alias("o_n"), F.col("mini").alias("o_mini"))
+        each = large.join(_few(mixed.where("ends").select("node")), "node").join(_few(materialize(outside, f"outside{level}")), "node")
+        more = each.where((F.col("point") != F.col("o")) & fits(F.col("n"), F.col("o_n"))).where(alike("mini", "o_mini")).select(F.least("point", "o").alias("p"), F.greatest("point", "o").alias("q"))
+        if rest <= REST or level >= levels:
+            return merged(more, roots) if rest else roots
+        left = materialize(large.join(_few(mixed.where("not ends").select("node")), "node").select("born", "node", "point", "n"), f"left{level}")
         born = [r["born"] for r in left.select("born").distinct().collect()]  # levels
         if not born:
             return merged(more, roots)
@@ -290,7 +305,7 @@ def linked(sets: list[np.ndarray], num: int, den: int, first: int | None = None)
     common = np.zeros((m, n), np.float32)
     if len(column):
         column = np.unique(column, return_inverse=True)[1]
-        step = max(64, (1 << 22) // n)
+        step = min(int(column[-1]) + 1, max(64, (1 << 22) // n))
         for lo in range(0, int(column[-1]) + 1, step):
             a, b = np.searchsorted(column, (lo, lo + step))
             x = np.zeros((n, step), np.float32)
@@ -331,12 +346,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     rows = texts.withColumn("uid", F.monotonically_increasing_id()).withColumn("doc_id", F.col("doc_id").cast("string"))
     rows = rows.mapInPandas(partial(_signatures, width=width), SIGNATURE)
     signed = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
-    first = F.min(F.struct("uid", "doc_id", "th", F.col("n_shingles").alias("n"), "sketch", "mini")).alias("first")
+    first = F.min(F.struct("uid", "doc_id", "th", F.col("n_shingles").alias("n"), "sketch")).alias("first")
     points = materialize(
         signed.where("n_shingles > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least"))
-        .select("digest", F.col("first.uid").alias("point"), "first.doc_id", "first.th", "first.n", "first.sketch", "first.mini", "least"), "points",
+        .select("digest", F.col("first.uid").alias("point"), "first.doc_id", "first.th", "first.n", "first.sketch", "least"), "points",
     )
-    clusters = candidate_clusters(points.select("point", "n", "sketch", "mini"), percent / 100, trees, small, levels)
+    clusters = candidate_clusters(points.select("point", "n", "sketch"), percent / 100, trees, small, levels)
     edges = _confirmed(texts, points, clusters, width, percent, block)
     roots = connected_components(edges, "p", "q")
     named = points.select("digest", "point", "least").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
