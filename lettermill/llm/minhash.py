@@ -42,9 +42,11 @@ MISS, MOST_TREES = 1e-4, 1000
 #: Nodes of up to this many points are compared exhaustively.
 SMALL = 16
 #: Larger ones end as well where the pairs of those outside their largest cluster with all others are no more than this.
-PAIRS = 1 << 14
+PAIRS = 1 << 17
 #: All end when what is outside the largest clusters needs no more comparisons than this in all.
-REST = 1 << 21
+REST = 1 << 24
+#: Rows of a node that are compared in one group.
+CHUNK = 4096
 #: Levels after which what is still large and mixed is compared exhaustively, too.
 LEVELS = 64
 #: The chance that the sketches of a pair right at the threshold agree so little that it isn't a candidate.
@@ -185,9 +187,24 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _few(rows: DataFrame) -> DataFrame:
+def _apart(pdf: pd.DataFrame, similarity: float, cut: int) -> pd.DataFrame:
+    """Pairs of clusters, by their roots, that a node's points outside its largest one bring together with points of this chunk."""
+    out, there = pdf[pdf["out"]], pdf[~pdf["out"]]
+    x, y = (np.frombuffer(b"".join(side["mini"]), np.uint8).reshape(len(side), POSITIONS) for side in (out, there))
+    n, m, a, b = out["n"].to_numpy(), there["n"].to_numpy(), out["r_point"].to_numpy(), there["r_point"].to_numpy()
+    found = [np.zeros((0, 2), np.int64)]
+    step = max(1, (1 << 18) // max(1, len(y)))
+    for at in range(0, len(x), step):
+        i, j = np.nonzero((np.minimum.outer(n[at : at + step], m) >= (similarity - 1e-9) * np.maximum.outer(n[at : at + step], m)) & (a[at : at + step, None] != b[None, :]))
+        ok = (x[at + i] == y[j]).sum(axis=1) >= cut
+        found.append(np.unique(np.stack([a[at + i[ok]], b[j[ok]]], 1), axis=0))
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+    return pd.DataFrame({"p": pairs[:, 0], "q": pairs[:, 1]})
+
+
+def _few(rows: DataFrame, n: int | None = None) -> DataFrame:
     """rows, broadcast if their number is bounded."""
-    return F.broadcast(rows) if count(rows) <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if (count(rows) if n is None else n) <= BROADCAST_ROWS else rows
 
 
 def _rooted(rows: DataFrame, roots: DataFrame | None, *ends: str) -> DataFrame:
@@ -250,16 +267,18 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
         mixed = parts.select("node", F.col("most.r_point").alias("main"), "all", (F.col("all") - F.col("most.part")).alias("out")).where("out > 0")
         mixed = materialize(mixed, f"mixed{level}")
         # A node with little to compare outside its largest cluster ends, and all end when little is left in all.
-        rest = mixed.agg(F.coalesce(F.sum(F.col("out") * F.col("all")), F.lit(0)).alias("pairs")).first().pairs
-        last = F.lit(level >= levels or rest <= REST)
-        mixed = mixed.withColumn("ends", last | (F.col("out") <= small) | (F.col("out") * F.col("all") <= PAIRS))
-        known = _few(mixed.where("ends").select("node", "main"))
-        outside = inside.join(known, "node").where("r_point != main").select("node", F.col("point").alias("o"), F.col("n").alias("o_n"), F.col("mini").alias("o_mini"))
-        each = large.join(_few(mixed.where("ends").select("node")), "node").join(_few(materialize(outside, f"outside{level}")), "node")
-        more = each.where((F.col("point") != F.col("o")) & fits(F.col("n"), F.col("o_n"))).where(alike("mini", "o_mini")).select(F.least("point", "o").alias("p"), F.greatest("point", "o").alias("q"))
-        if rest <= REST or level >= levels:
-            return merged(more, roots) if rest else roots
-        left = materialize(large.join(_few(mixed.where("not ends").select("node")), "node").select("born", "node", "point", "n"), f"left{level}")
+        few_pairs = (F.col("out") <= small) | (F.col("out") * F.col("all") <= PAIRS)
+        left = mixed.agg(F.coalesce(F.sum(F.col("out") * F.col("all")), F.lit(0)).alias("pairs"), F.count(F.lit(1)).alias("nodes")).first()
+        done = left.pairs <= REST or level >= levels
+        chunks = F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")
+        ends = inside.join(_few(mixed.where(F.lit(done) | few_pairs).select("node", "main", chunks), left.nodes), "node")
+        fields = ["point", "n", "mini", "r_point"]
+        there = ends.select("node", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int").alias("chunk"), *fields, F.lit(False).alias("out"))
+        asks = ends.where("r_point != main").select("node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), *fields, F.lit(True))
+        more = there.union(asks).groupBy("node", "chunk").applyInPandas(lambda pdf: _apart(pdf, similarity, cut), "p long, q long")
+        if done:
+            return merged(more, roots) if left.nodes else roots
+        left = materialize(large.join(_few(mixed.where(~few_pairs).select("node"), left.nodes), "node").select("born", "node", "point", "n"), f"left{level}")
         born = [r["born"] for r in left.select("born").distinct().collect()]  # levels
         if not born:
             return merged(more, roots)
@@ -269,6 +288,7 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
             again = left.select("point").distinct().join(points, "point").select(F.lit(level).alias("born"), "point", "n", "sketch")
             rows = rows.union(grown(again, trees, wanted))
             trees = wanted
+        rows = materialize(rows, f"grown{level}")
 
 
 def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
