@@ -261,7 +261,7 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
         many = large.join(_few(pivots), "node").where((F.col("point") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).where(alike("mini", "pivot_mini"))
         pairs = pairs.union(many.select(F.least("point", "pivot"), F.greatest("point", "pivot")))
         roots = materialize(merged(pairs if more is None else pairs.union(more), roots), f"roots{level}")
-        inside = _rooted(large, roots, "point")
+        inside = materialize(_rooted(large, roots, "point"), f"inside{level}")
         parts = inside.groupBy("node", "r_point").agg(F.count(F.lit(1)).alias("part"))
         parts = parts.groupBy("node").agg(F.sum("part").alias("all"), F.max(F.struct("part", "r_point")).alias("most"))
         mixed = parts.select("node", F.col("most.r_point").alias("main"), "all", (F.col("all") - F.col("most.part")).alias("out")).where("out > 0")
@@ -278,7 +278,7 @@ def candidate_clusters(points: DataFrame, similarity: float, trees: int = TREES,
         more = there.union(asks).groupBy("node", "chunk").applyInPandas(lambda pdf: _apart(pdf, similarity, cut), "p long, q long")
         if done:
             return merged(more, roots) if left.nodes else roots
-        left = materialize(large.join(_few(mixed.where(~few_pairs).select("node"), left.nodes), "node").select("born", "node", "point", "n"), f"left{level}")
+        left = materialize(inside.join(_few(mixed.where(~few_pairs).select("node"), left.nodes), "node").select("born", "node", "point", "n"), f"left{level}")
         born = [r["born"] for r in left.select("born").distinct().collect()]  # levels
         if not born:
             return merged(more, roots)
