@@ -81,43 +81,12 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)
 
 
-def domain(address: Column) -> Column:
-    """What follows the last @, lower-cased; null without one."""
-    return F.when(F.contains(address, F.lit("@")), F.lower(F.substring_index(address, "@", -1)))
+def safe(value: object) -> str:
+    """Of the first 80 characters of a text the letters, digits, dots, underscores and dashes; "unknown" if there are none."""
+    kept = filter(lambda c: c.isalnum() or c in "._-", value[:80]) if isinstance(value, str) else ()
+    return "".join(kept) or "unknown"
 
 
-def message_id(raw: Column) -> Column:
-    """Without white space and angle brackets around it; null if nothing is left."""
-    return F.nullif(F.regexp_replace(strip(raw), r"^[<>]+|[<>]+$", ""), F.lit(""))
-
-
-def path_intent(path: Column) -> Column:
-    """The first of PATH_INTENTS that a path holds, else null."""
-    found = F.lit(None).cast("string")
-    for word in reversed(PATH_INTENTS):
-        found = F.when(F.contains(F.lower(path), F.lit(word)), F.lit(word)).otherwise(found)
-    return found
-
-
-def url_shape(url: Column, host_token: Column, prefix: str = "URL") -> Column:
-    """A URL as inert marks: scheme, host mark, kind of path, removed query and fragment."""
-    tag = "" if prefix == "URL" else f"{prefix}_"
-    part = lambda what: F.coalesce(F.try_parse_url(url, F.lit(what)), F.lit(""))
-    path, intent = part("PATH"), path_intent(part("PATH"))
-    kind = F.when(intent.isNotNull(), F.upper(intent)).when(path.isin("", "/"), "ROOT").otherwise("PRESENT")
-    return F.concat(
-        F.lit(f"[{prefix}_SCHEME_"), F.upper(part("PROTOCOL")), F.lit("]"), host_token, F.lit(f"[{tag}PATH_"), kind, F.lit("]"),
-        F.when(part("QUERY") != "", f"[{tag}QUERY_REMOVED]").otherwise(""), F.when(part("REF") != "", f"[{tag}FRAGMENT_REMOVED]").otherwise(""),
-    )
-
-
-def attachment_tokens(extensions: Column) -> Column:
-    """Sorted distinct marks of file name extensions: 1 to 10 letters and digits, else OTHER."""
-    bare = F.transform(extensions, lambda e: F.regexp_replace(e, r"^\.+", ""))
-    marks = F.transform(bare, lambda e: F.when(F.regexp_like(e, F.lit("^[A-Za-z0-9]{1,10}$")), F.concat(F.lit("[ATTACHMENT_EXT_"), F.upper(e), F.lit("]"))).otherwise("[ATTACHMENT_EXT_OTHER]"))
-    return F.array_sort(F.array_distinct(marks))
-
-
-def safe_diagnostic(text: Column) -> Column:
-    """The first 80 characters, of them letters, digits, dot, underscore and dash; else "unknown"."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(80)), r"[^\p{L}\p{N}._-]", ""), F.lit("")), F.lit("unknown"))
+@F.pandas_udf(StringType())
+def safe_diagnostic(text: pd.Series) -> pd.Series:
+    return pd.Series([safe(t) for t in text], dtype="object")

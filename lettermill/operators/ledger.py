@@ -1,4 +1,4 @@
-"""A batch's state from its append-only ledger, as aggregates; and rules for model outputs.
+"""A batch's state from its append-only ledger, as aggregates.
 
 A sample is done when a record accepts it. Accepted, rejected and mismatched answers count as attempts of
 their round, transport errors don't. A sample whose latest round is used up is exhausted, until a new
@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.prompts import MODEL, OUTPUT
+
 BILLABLE = ("accepted", "rejected", "model_mismatch")
 MAX_ATTEMPTS = 2
-MODEL = "gpt-5-nano"
 
-OUTPUT = "struct<label:string,phishing_probability:double,indicators:array<struct<type:string,evidence:string>>,reason:string,warning:string>"
 RECORD = (
     "recorded_at_utc string, protocol_id string, sample_id string, source string, corpus_label int, similarity_group_id string, status string, retry_round int, authorised_retry boolean, attempt int, "
     f"request_key string, provider_request_id string, requested_model string, resolved_model string, input_tokens long, cached_input_tokens long, output_tokens long, output {OUTPUT}, "
@@ -76,6 +76,12 @@ def request_key(protocol: Column, sample: Column, round_: Column, attempt: Colum
     return F.sha2(F.concat(protocol, nul, sample, nul, tail), 256)
 
 
+def with_keys(batch: DataFrame, protocol: str, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """batch (of pending) with request_keys: those of its next attempt and of the ones after it in its round."""
+    at = F.sequence(F.col("attempt"), F.greatest(F.col("attempt"), F.lit(attempts)))
+    return batch.withColumn("request_keys", F.transform(at, lambda a: request_key(F.lit(protocol), F.col("sample_id"), F.col("retry_round"), a)))
+
+
 def predictions(records: DataFrame, representation: str) -> DataFrame:
     """The last accepted record of each sample as a prediction."""
     last = records.where("status = 'accepted'").groupBy("sample_id").agg(F.max_by(F.struct("source", "corpus_label", "similarity_group_id", "output"), F.struct("recorded_at_utc", "request_key")).alias("r"))

@@ -41,12 +41,20 @@ def fingerprints(messages: DataFrame, key: str, text: Column) -> DataFrame:
     return votes.select(key, F.col("n").cast("long").alias("token_count"), bits.alias("fingerprint"))
 
 
-def bands(prints: DataFrame, key: str, order: Column, cap: int = BUCKET_CAP) -> DataFrame:
-    """One row for each band: band, byte, and kept, whether the bucket had room when the row came, in order."""
+def _bytes(prints: DataFrame) -> DataFrame:
+    """One row for each band of each message that is long enough: band and byte."""
     byte = lambda b: F.shiftrightunsigned("fingerprint", 8 * b).bitwiseAND(F.lit(255)).cast("int")
     rows = prints.where(F.col("token_count") >= LEAST_TOKENS).withColumn("byte", F.array(*(byte(b) for b in range(BANDS))))
-    rows = rows.select("*", F.posexplode("byte").alias("band", "bucket")).drop("byte").withColumnRenamed("bucket", "byte")
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("band", "byte").orderBy(order, key))).withColumn("kept", F.col("nth") <= cap)
+    return rows.select("*", F.posexplode("byte").alias("band", "bucket")).drop("byte").withColumnRenamed("bucket", "byte")
+
+
+def bands(prints: DataFrame, key: str, order: Column, cap: int = BUCKET_CAP) -> DataFrame:
+    """The rows that find room in their buckets, the first cap of each in order: band, byte and nth.
+
+    The limit on nth lets each task drop what it has beyond it before rows are dealt by bucket.
+    """
+    nth = F.row_number().over(W.partitionBy("band", "byte").orderBy(order, key))
+    return _bytes(prints).withColumn("nth", nth).where(F.col("nth") <= cap)
 
 
 def edges(banded: DataFrame, key: str, group: str) -> DataFrame:
@@ -54,7 +62,7 @@ def edges(banded: DataFrame, key: str, group: str) -> DataFrame:
 
     Of the rows in a bucket only those that found room take part, in the numbering order.
     """
-    rows = banded.where("kept").select("band", "byte", "nth", key, group, "token_count", "fingerprint")
+    rows = banded.select("band", "byte", "nth", key, group, "token_count", "fingerprint")
     a, b = (rows.select("band", "byte", *(F.col(c).alias(f"{c}_{s}") for c in ("nth", key, group, "token_count", "fingerprint"))) for s in "ab")
     both = a.join(b, ["band", "byte"]).where(F.col("nth_a") < F.col("nth_b"))
     distance = F.bit_count(F.col("fingerprint_a").bitwiseXOR(F.col("fingerprint_b")))
@@ -88,11 +96,10 @@ def exact_edges(prints: DataFrame, key: str, group: str) -> DataFrame:
     )
 
 
-def overflow(banded: DataFrame) -> DataFrame:
-    """One row: how often a full bucket was met, and whether every near pair was a candidate."""
-    return banded.agg(F.count_if(~F.col("kept")).alias("bucket_overflow_events")).select(
-        "bucket_overflow_events", (F.col("bucket_overflow_events") == 0).alias("candidate_recall_is_exhaustive")
-    )
+def overflow(prints: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
+    """One row: how many rows find their bucket full, and whether every near pair is a candidate."""
+    over = _bytes(prints).groupBy("band", "byte").agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("over"))
+    return over.agg(F.coalesce(F.sum("over"), F.lit(0)).alias("bucket_overflow_events")).select("bucket_overflow_events", (F.col("bucket_overflow_events") == 0).alias("candidate_recall_is_exhaustive"))
 
 
 def group_ids(members: DataFrame, key: str, similar: DataFrame) -> DataFrame:
@@ -109,6 +116,6 @@ def group_ids(members: DataFrame, key: str, similar: DataFrame) -> DataFrame:
 
 
 def crossing(groups: DataFrame, *fields: str) -> DataFrame:
-    """Groups whose members differ in one of the fields."""
+    """Groups whose members differ in one of the fields: similarity_group_id, and the number of values of each field."""
     spread = groups.groupBy("similarity_group_id").agg(*(F.countDistinct(f).alias(f) for f in fields))
     return spread.where(F.greatest(*fields, F.lit(0)) > 1)

@@ -11,26 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lettermill.functions import prompts, text
-from lettermill.functions.mail import enriched, links_column, parse_messages, visible_text_column
-from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, simhash, split, tfidf
-from lettermill.session import materialize
+from lettermill.config import StudyConfig
+from lettermill.functions import mail, prompts, text
+from lettermill.functions.language import detect, gazetteer
+from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, report, simhash, split, tfidf
+from lettermill.session import count, materialize
 from lettermill.sources import raw
+from lettermill.sources.tables import read_table as table
 
-SEED = 20260808
-SOURCES = ["en", "de", "fr", "es"]
-LABELS = {"en": 0, "de": 0, "fr": 1, "es": 1}
-DESIRED_SHARE, CAP = 400, 300
+STUDY = StudyConfig("")
+SEED = STUDY.seed
+#: Sources of the study's label 1; every other language is one of label 0.
+PHISHING = ("fr", "es")
 PLAN = [(1, "en", 0), (2, "fr", 1), (3, "de", 0), (4, "es", 1)]
 STATUS = {"purchase": "accepted", "error": "rejected", "signup": "model_mismatch", "click": "transport_error"}
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def label_of(source: Column) -> Column:
+    return F.when(source.isin(*PHISHING), 1).otherwise(0)
 
 
-def label_of(source: Column) -> Column:
-    return F.when(source.isin(*(s for s, y in LABELS.items() if y)), 1).otherwise(0)
+def sources_of(rows: DataFrame) -> list[str]:
+    """The sources of a table, by name."""
+    return sorted(r.source for r in rows.select("source").where("source is not null").distinct().collect())  # languages
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -63,20 +66,23 @@ def sample_identity(spark, d):
     return rows.select("doc_id", sid.alias("sample_id"), "content", text.duplicate_group_id(F.col("content")).alias("duplicate_group_id"))
 
 
-def _pool(spark, d) -> pool.Pool:
+def _pool(spark, d) -> tuple[pool.Pool, list[str]]:
+    """A pool with the study's quotas. Documents without a body are rejected, as are those that a detector takes for another language's."""
     rows = docs(spark, d)
-    rejected = pool.rejection(F.col("body") == "", F.lit(True), F.lit(False))
+    rejected = pool.rejection(F.col("body") == "", F.col("doc_id") % 11 != 0, F.col("doc_id") % 13 == 0)
     rows = rows.select("doc_id", "source", "label", "content", text.seeded(SEED, F.col("path")).alias("ord"), rejected.alias("rejected"))
-    return pool.candidates(materialize(rows, "messages"), SOURCES, DESIRED_SHARE)
+    rows = materialize(rows, "messages")
+    return pool.candidates(rows, sources_of(rows), STUDY.source_cap + STUDY.reserve_per_source), sources_of(rows)
 
 
 def source_quota_pool(spark, d):
-    rows = pool.balanced(_pool(spark, d).accepted, SOURCES, CAP)
+    found, sources = _pool(spark, d)
+    rows = pool.balanced(found.accepted, sources, STUDY.source_cap)
     return rows.select("doc_id", "source", "label", "candidate_rank_within_source", "pool_status")
 
 
 def skip_reasons(spark, d):
-    return _pool(spark, d).reasons.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _pool(spark, d)[0].reasons.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def exact_duplicates(spark, d):
@@ -107,11 +113,11 @@ def simhash_fingerprint(spark, d):
 
 def band_buckets(spark, d):
     rows = simhash.bands(_prints(spark, d), "doc_id", F.col("doc_id"))
-    return rows.select("doc_id", "band", "byte", "nth", "kept")
+    return rows.select("doc_id", "band", "byte", "nth")
 
 
 def bucket_overflow(spark, d):
-    return simhash.overflow(simhash.bands(_prints(spark, d), "doc_id", F.col("doc_id"), cap=5))
+    return simhash.overflow(_prints(spark, d), cap=5)
 
 
 def _edges(spark, d) -> DataFrame:
@@ -138,24 +144,19 @@ def similarity_group_ids(spark, d):
 
 
 def group_crossings(spark, d):
-    """Groups of similar documents that lie in several sources."""
-    groups = similarity_group_ids(spark, d).join(docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "label"), "doc_id")
-    return simhash.crossing(groups, "source", "label")
-
-
-def apportion_targets(spark, d):
-    n = table(spark, d, "documents").where("lang in ('en','de','fr','es')").groupBy("lang").count().agg(F.min("count")).first()[0] or 0
-    return spark.createDataFrame([(s, v) for s, v in split.apportion(n, 0.70, 0.15).items()], "split string, target long")
+    """Groups of similar documents that lie in several sources. Every fifth document is said to come from elsewhere, so that some do."""
+    moved = F.when(F.col("doc_id") % 5 == 0, "elsewhere").otherwise(F.col("source"))
+    own = docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), moved.alias("source"), "label")
+    return simhash.crossing(similarity_group_ids(spark, d).join(own, "doc_id"), "source", "label")
 
 
-def _groups(spark, d) -> DataFrame:
-    """Groups of equal content, as messages of one source only."""
-    return docs(spark, d).groupBy("source", F.col("content").alias("similarity_group_id")).agg(F.count(F.lit(1)).alias("members"))
+def _targets(spark, d) -> dict[str, int]:
+    n = table(spark, d, "documents").where("lang is not null").groupBy("lang").count().agg(F.min("count")).first()[0] or 0
+    return split.apportion(n, STUDY.train_ratio, STUDY.validation_ratio)
 
 
-def _targets(spark, d) -> dict[str, int]:
-    n = table(spark, d, "documents").groupBy("lang").count().agg(F.min("count")).first()[0] or 0
-    return split.apportion(n, 0.70, 0.15)
+def apportion_targets(spark, d):
+    return spark.createDataFrame(list(_targets(spark, d).items()), "split string, target long")
 
 
 def _sliced(spark, d) -> DataFrame:
@@ -180,7 +181,9 @@ def split_pivot(spark, d):
 
 
 def split_leaks(spark, d):
-    return split.leaking(_split(spark, d))
+    """Groups in several splits, where every seventh document was put into another one."""
+    rows = _split(spark, d)
+    return split.leaking(rows.withColumn("split", F.when(F.col("doc_id") % 7 == 0, "test").otherwise(F.col("split"))).withColumn("similarity_group_id", F.substring("content", 1, 2)))
 
 
 def url_components(spark, d):
@@ -188,13 +191,17 @@ def url_components(spark, d):
     return table(spark, d, "pages").select("page_id", F.upper(part("PROTOCOL")).alias("scheme"), F.lower(part("HOST")).alias("host"), part("PATH").alias("path"), (part("QUERY") != "").alias("has_query"), (part("REF") != "").alias("has_fragment"))
 
 
+_shape = mail.column(lambda url: mail.Numbers().url(url))
+_intent = mail.column(lambda url: mail.path_intent(mail.urlsplit(url).path))
+
+
 def url_shapes(spark, d):
-    return table(spark, d, "pages").select("page_id", text.url_shape(F.col("url"), F.lit("[URL_DOMAIN_1]")).alias("shape"))
+    return table(spark, d, "pages").select("page_id", _shape("url").alias("shape"))
 
 
 def path_intents(spark, d):
     named = F.replace(F.replace("url", F.lit("/en/"), F.lit("/Verify-login/")), F.lit("/de/"), F.lit("/invoice/"))
-    return table(spark, d, "pages").select("page_id", text.path_intent(F.try_parse_url(named, F.lit("PATH"))).alias("intent"))
+    return table(spark, d, "pages").select("page_id", _intent(named).alias("intent"))
 
 
 def pii_presence(spark, d):
@@ -204,46 +211,82 @@ def pii_presence(spark, d):
 
 def attachment_tokens(spark, d):
     ext = F.array(F.concat(F.lit("."), "event_type"), F.lit(".PDF"), F.concat(F.lit(".x-"), (F.col("user_id") % 7).cast("string")), F.lit(""))
-    return table(spark, d, "events").select("event_id", F.array_join(text.attachment_tokens(ext), " ").alias("tokens"))
+    return table(spark, d, "events").select("event_id", F.array_join(mail.attachment_marks_column(ext), " ").alias("tokens"))
 
 
 def html_links(spark, d):
-    links = links_column(F.col("html"))
+    links = mail.links_column(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("targets"))
 
 
 def html_visible_text(spark, d):
-    shown = visible_text_column(F.col("html"))
+    shown = mail.visible_text_column(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(shown).alias("n_chars"), F.sha2(shown, 256).alias("digest"))
 
 
+_message_id, _domain = mail.column(mail.message_id), mail.column(mail.domain)
+
+
 def message_ids(spark, d):
-    return table(spark, d, "pages").select("page_id", text.message_id(F.concat(F.lit(" \t<"), F.substring_index("url", "/", -1), F.lit(">\n"))).alias("message_id"), text.domain(F.concat(F.lit("User@"), F.upper(F.substring("url", 9, 12)))).alias("domain"), text.safe_diagnostic(F.col("url")).alias("safe"))
+    return table(spark, d, "pages").select("page_id", _message_id(F.concat(F.lit(" \t<"), F.substring_index("url", "/", -1), F.lit(">\n"))).alias("message_id"), _domain(F.concat(F.lit("User@"), F.upper(F.substring("url", 9, 12)))).alias("domain"), text.safe_diagnostic(F.col("url")).alias("safe"))
+
+
+def _joined(*parts) -> Column:
+    """Parts of a mail: columns, texts, and numbers of documents."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
 def _mails(spark, d) -> DataFrame:
-    """Documents as mails: a plain part, and an attachment for some."""
-    head = F.concat(F.lit('From: "S" <Sender@'), F.upper("lang"), F.lit(".Example>\nTo: a@x.org, B@Y.org\nSubject:  doc "), F.col("doc_id").cast("string"), F.lit(" \nMessage-ID: <m"), F.col("doc_id").cast("string"), F.lit("@x>\n"))
-    kind = F.lit("MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n")
-    return table(spark, d, "documents").select("doc_id", F.concat(head, kind, "text").cast("binary").alias("raw_email"))
+    """Documents as mails of four kinds, by number: plain text; several parts with an attachment; a page alone; nothing to show."""
+    n = F.col("doc_id").cast("string")
+    day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    date = F.when(F.col("doc_id") % 6 == 0, "Date: no date\n").when(F.col("doc_id") % 6 == 1, "").otherwise(_joined("Date: ", day, " Mar 2021 10:20:30 +0530\n"))
+    head = _joined('From: "S" <Sender@', F.upper("lang"), ".Example>\nTo: a@x.org, B@Y.org, nobody\nSubject:  doc ", n, " \nMessage-ID: <m", n, "@x>\nMIME-Version: 1.0\n", date)
+    kind = lambda t: f"Content-Type: {t}; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
+    attached = 'Content-Type: application/pdf; name="x"\nContent-Disposition: attachment; filename="Invoice.PDF"\nContent-Transfer-Encoding: base64\n\nAAAA\n'
+    page = _joined("<html><head><title>t</title></head><body><p>Shown ", n, "</p><div>line &amp; more</div><script>hid</script></body></html>\n")
+    several = _joined('Content-Type: multipart/mixed; boundary="bb"\n\n--bb\n', kind("text/html"), page, "--bb\n", kind("text/plain"), F.col("text"), "\n--bb\n", kind("text/plain"), "second\n--bb\n", attached, "--bb--\n")
+    which = F.col("doc_id") % 4
+    body = F.when(which == 0, _joined(kind("text/plain"), F.col("text"))).when(which == 1, several).when(which == 2, _joined(kind("text/html"), page)).otherwise(_joined('Content-Type: multipart/mixed; boundary="bb"\n\n--bb\n', attached, "--bb--\n"))
+    return table(spark, d, "documents").select("doc_id", F.concat(head, body).cast("binary").alias("raw_email"))
 
 
 def parsed_messages(spark, d):
-    rows = parse_messages(_mails(spark, d))
-    return rows.select("doc_id", "subject", F.sha2("body_text", 256).alias("body_sha256"), "body_source", "from_address", "from_domain", F.array_join("to_domains", ",").alias("to_domains"), "recipient_count", "message_id", "language_cohort", "error")
+    rows = mail.parse_messages(_mails(spark, d))
+    return rows.select(
+        "doc_id", "subject", F.sha2("body_text", 256).alias("body_sha256"), "body_source", "has_plain_part", "has_html_part", "from_address", "from_domain", F.array_join("to_domains", ",").alias("to_domains"), "recipient_count",
+        "message_id", "date_utc", "date_parse_status", F.array_join("parse_warnings", ",").alias("warnings"), "mime_type", "attachment_count", F.array_join("attachment_extensions", ",").alias("extensions"), "error",
+    )
 
 
 def deidentified_messages(spark, d):
-    rows = parse_messages(_mails(spark, d))
-    left = lambda p: F.regexp_like("deidentified_body_text", F.lit(p))
-    return rows.select("doc_id", (left(text.EMAIL) | left(text.ACTIVE_URL) | left(text.LONG_NUMBER)).alias("leaks"), F.contains("deidentified_body_text", F.lit("[EMAIL_1]")).alias("had_email"))
+    """Mails made of addresses, links, numbers and names, some of them twice, and the marks that stand for them."""
+    n = F.col("doc_id").cast("string")
+    subject = _joined("Ann Lee, account ", F.lpad(n, 9, "1"))
+    body = _joined(
+        "Write to Ann.", n, "@Example.org or ANN.", n, "@example.org (b@c.de), call +44 20 7946 ", F.lpad(n, 6, "0"), " or 555-1234-", F.lpad(n, 4, "0"), "; ref ", F.lpad(n, 9, "1"), " and ", F.lpad(n, 8, "2"), ".\n",
+        "See https://Shop", n, ".example.com/Login/x?y=1#z, www.x.net and http://shop", n, ".example.com/. ann lee of Acme Corp; Anna Lee.",
+    )
+    raw = table(spark, d, "documents").select("doc_id", _joined("Subject: ", subject, "\nContent-Type: text/plain; charset=utf-8\n\n", body, "\n").cast("binary").alias("raw_email"))
+    rows = mail.parse_messages(raw, names=gazetteer(["Ann Lee"], ["Acme Corp"]))
+    return rows.select("doc_id", "deidentified_subject", "deidentified_body_text", F.sha2("detector_input_v1", 256).alias("input_sha256"), "error")
+
+
+def language_cohorts(spark, d):
+    """What the detector says of documents' first 400 characters, in English and in other languages' words."""
+    words = F.when(F.col("doc_id") % 3 == 0, "this is what they have said about all of it and you will be there with us when it was not").when(
+        F.col("doc_id") % 3 == 1, "das ist nicht die Frage und wir werden sehen was man aus einer so guten Sache noch machen kann, oder auch nicht"
+    )
+    raw = table(spark, d, "documents").select("doc_id", _joined("Subject: s\nContent-Type: text/plain; charset=utf-8\n\n", F.coalesce(words, F.lit("xx yy 12"))).cast("binary").alias("raw_email"))
+    return mail.parse_messages(raw, language=detect).select("doc_id", "language", "language_cohort", F.array_join("language_warnings", ",").alias("warnings"))
 
 
 def enriched_pages(spark, d):
-    """Pages as HTML mails, with the structure of their links."""
+    """Pages as HTML mails, with the structure of their links; every tenth has a malformed one."""
     html = F.concat(F.lit("MIME-Version: 1.0\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.replace("html", F.lit('href="/'), F.lit('href="http://H.example/login/')))
+    html = F.concat(html, F.when(F.col("page_id") % 10 == 0, '<a href="http://[">x</a>').otherwise(""))
     rows = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("sample_id"), F.lit("v1").alias("detector_input_v1"), html.cast("binary").alias("raw_email"), F.array(F.lit(".pdf"), F.lit(".tar.gz")).alias("attachment_extensions"))
-    return enriched(rows).select(F.col("sample_id").cast("long").alias("page_id"), "detector_input_text", "representation_version")
+    return mail.enriched(rows).select(F.col("sample_id").cast("long").alias("page_id"), "detector_input_text", "representation_version", F.col("error").isNotNull().alias("failed"))
 
 
 def _tf(spark, d) -> DataFrame:
@@ -251,7 +294,7 @@ def _tf(spark, d) -> DataFrame:
 
 
 def idf_table(spark, d):
-    vocab = tfidf.vocabulary(_tf(spark, d), table(spark, d, "documents").count())
+    vocab = tfidf.vocabulary(_tf(spark, d), count(table(spark, d, "documents")))
     return vocab.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -262,7 +305,7 @@ def min_df_vocab(spark, d):
 
 def tfidf_weights(spark, d):
     tf = materialize(_tf(spark, d), "tf")
-    vocab = materialize(tfidf.vocabulary(tf, table(spark, d, "documents").count()), "vocabulary")
+    vocab = materialize(tfidf.vocabulary(tf, count(table(spark, d, "documents"))), "vocabulary")
     return tfidf.weights(tf, "doc_id", vocab).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
@@ -336,13 +379,8 @@ def average_precision(spark, d):
     return _rounded(metrics.ranking(_all(scored(spark, d)), ["method"]).select("method", "pr_auc"))
 
 
-REPLICATES = 40
-
-
 def _samples(spark, d) -> DataFrame:
-    rows = scored(spark, d)
-    drawn = materialize(bootstrap.draws(rows, REPLICATES, SEED), "draws")
-    return materialize(bootstrap.replicate_metrics(_all(rows), drawn, ["method"]), "replicates")
+    return materialize(bootstrap.replicate_metrics(_all(scored(spark, d)), STUDY.bootstrap_replicates, SEED, "method"), "replicates")
 
 
 def bootstrap_interval(spark, d):
@@ -350,10 +388,23 @@ def bootstrap_interval(spark, d):
 
 
 def paired_difference(spark, d):
-    rows = _samples(spark, d)
-    a, b = (rows.where(F.col("method") == m) for m in ("first", "second"))
-    diff = a.alias("a").join(b.alias("b"), "replicate").select("replicate", F.lit("second_minus_first").alias("difference"), *((F.col(f"b.{m}") - F.col(f"a.{m}")).alias(m) for m in metrics.INTERVAL_METRICS))
-    return _rounded(bootstrap.intervals(diff, ["difference"]))
+    return _rounded(bootstrap.intervals(bootstrap.differences(_samples(spark, d), "method", "first", "second"), ["difference"]))
+
+
+def core_report(spark, d):
+    return report.core(metrics.classification_metrics(_all(scored(spark, d)), ["method"]), "method")
+
+
+def ranking_report(spark, d):
+    return report.ranking(metrics.classification_metrics(_all(scored(spark, d)), ["method"]), "method")
+
+
+def confusion_report(spark, d):
+    return report.confusion(metrics.classification_metrics(_all(scored(spark, d)), ["method"]), "method")
+
+
+def split_report(spark, d):
+    return report.split_bars(split.pivot(_split(spark, d)))
 
 
 def run_identity_check(spark, d):
@@ -410,13 +461,37 @@ def request_keys(spark, d):
     return rows.select("sample_id", ledger.request_key(F.lit("protocol"), F.col("sample_id"), F.col("retry_round"), F.col("attempt")).alias("request_key"))
 
 
+def ledger_predictions(spark, d):
+    """The last accepted record of each sample, by time, as a prediction."""
+    event = table(spark, d, "events")
+    output = F.struct(F.when(F.col("event_id") % 2 == 0, "phishing").otherwise("legitimate").alias("label"), ((F.col("event_id") % 100) / 100.0).alias("phishing_probability"))
+    when, key = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("event_id").cast("string"), 12, "0")
+    rows = event.select(
+        F.col("user_id").cast("string").alias("sample_id"), F.when(F.col("event_type") == "purchase", "accepted").otherwise("rejected").alias("status"), F.lit("s").alias("source"), F.lit(1).alias("corpus_label"),
+        F.lit("g").alias("similarity_group_id"), output.alias("output"), when.alias("recorded_at_utc"), key.alias("request_key"),
+    )
+    return ledger.predictions(rows, "v1.0")
+
+
+def attempt_keys(spark, d):
+    """The keys of the next attempt of each sample and of those that may follow it."""
+    rows = ledger.pending(ledger.state(_ledger_samples(spark, d), _records(spark, d)), None, retry_exhausted=True)
+    return ledger.with_keys(rows, "protocol").select("sample_id", F.array_join("request_keys", ",").alias("request_keys"))
+
+
+def canonical_protocol(spark, d):
+    """Digests of small settings, as protocols are named by them."""
+    rows = [(i, prompts.canonical_json(v), prompts.protocol_digest(v)) for i, v in enumerate(({"b": [1, 2.5, None], "a": "é", "c": {"z": True}}, [], {"plan": [[1, "enron", 0]], "n": "10"}))]
+    return spark.createDataFrame(rows, "i int, canonical string, digest string")
+
+
 def four_shot_prompt(spark, d):
     found, rows = _manifest(spark, d)
     shown = rows.select(F.col("sample_id").alias("example_sample_id"), F.col("text").alias("shown"))
     packed = found.join(shown, "example_sample_id").groupBy("target_sample_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("shown").alias("text"), F.col("example_label").alias("label")))).alias("x"))
     both = packed.join(rows.select(F.col("sample_id").alias("target_sample_id"), "text"), "target_sample_id")
     message = prompts.four_shot_message(F.col("x"), F.col("text"))
-    return both.select("target_sample_id", F.length(message).alias("n_chars"), F.sha2(message, 256).alias("digest"))
+    return both.select("target_sample_id", F.length(message).alias("n_chars"), F.sha2(message, 256).alias("digest"), prompts.too_long(F.lit("system"), message).alias("too_long"))
 
 
 def model_output_errors(spark, d):
@@ -430,7 +505,7 @@ def model_output_errors(spark, d):
     more = F.when(F.col("event_id") % 23 == 0, ',"extra":1').otherwise("")
     whole = F.concat(F.lit('{"label":"'), label, F.lit('","phishing_probability":'), value, F.lit(',"indicators":'), shown, F.lit(',"reason":"r","warning":"'), warn, F.lit('"'), more, F.lit("}"))
     answer = F.when(F.col("event_id") % 29 == 0, "[1]").when(F.col("event_id") % 31 == 0, "{oops").otherwise(whole)
-    return table(spark, d, "events").select("event_id", prompts.output_error(answer).alias("error"))
+    return prompts.judged(table(spark, d, "events").select("event_id", answer.alias("answer"))).select("event_id", "error", F.col("output.phishing_probability").alias("p"), F.col("output.indicators")[0]["evidence"].alias("evidence"))
 
 
 def _study(spark, d) -> DataFrame:
@@ -443,7 +518,7 @@ def model_scores(spark, d):
 
 
 def grid_metrics(spark, d):
-    rows = model.grid_predictions(_study(spark, d), "text", [g for g in model.PARAMETER_GRID if g["ngram"] == 1])
+    rows = model.grid_predictions(_study(spark, d), "text")
     rows = rows.select("candidate", F.col("corpus_label").alias("label"), F.col("predicted_label").alias("predicted"), F.col("phishing_probability").alias("score"))
     return _rounded(metrics.classification_metrics(rows, ["candidate"]))
 
@@ -453,6 +528,11 @@ def top_features(spark, d):
     return _rounded(model.top_features(weights))
 
 
+def feature_report(spark, d):
+    _, weights = model.test_predictions(_study(spark, d), "text", {"C": 1.0, "ngram": 1, "min_df": 2})
+    return model.two_sided_features(model.top_features(weights))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -460,6 +540,7 @@ QUERIES = {
         bucket_overflow, near_dup_edges, near_dup_edges_exact, similarity_components, similarity_group_ids, group_crossings, apportion_targets, greedy_split, split_pivot, split_leaks, url_components, url_shapes,
         path_intents, pii_presence, attachment_tokens, html_links, html_visible_text, message_ids, parsed_messages, deidentified_messages, enriched_pages, idf_table, min_df_vocab, tfidf_weights, retrieve_top1_per_pool, retrieval_audit, retrieval_scores,
         confusion, classification_metrics, metrics_by_source, roc_auc, average_precision, bootstrap_interval, paired_difference, run_identity_check, comparison_gate, strategy_status,
+        core_report, ranking_report, confusion_report, split_report, language_cohorts, ledger_predictions, attempt_keys, canonical_protocol, feature_report,
         ledger_rounds, ledger_state, pending_batch, ledger_strangers, token_usage, batch_status, request_keys, four_shot_prompt, model_output_errors, model_scores, grid_metrics, top_features,
     )
 }

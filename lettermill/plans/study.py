@@ -1,29 +1,29 @@
 """The study from raw mail to compared classifiers, step by step.
 
-Every step reads and writes tables in the study's folders and can be run again; finished tables are used
-as they are. Tables are made by Spark; the driver holds summaries, and the test split's predictions where
-a step works on them one by one (requests to a model, the sequential bootstrap).
+Every step reads and writes tables in the study's folders, on any store that Spark reaches, and can be run again; finished
+tables are used as they are. Tables are made by Spark; the driver holds summaries, and the messages of a batch
+where it sends them one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-from collections.abc import Callable, Mapping
+import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
-from pathlib import Path
-from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.config import LABEL_NAMES, SOURCES, StudyConfig
 from lettermill.functions import mail, prompts, text
+from lettermill.functions.language import detect
 from lettermill.operators import bootstrap, compare, ledger, metrics, model, pool, simhash, split, tfidf
 from lettermill.session import materialize
 from lettermill.sources import raw
+from lettermill.sources.files import Files
+from lettermill.sources.transport import ChatTransport, HttpTransport, RetryableTransportError
 
 TABLES = ("canonical", "candidate-pool", "similarity-edges", "split-manifest", "detector-input-v1", "detector-input-v2")
 REPRESENTATIONS = {"v1.0": "detector-input-v1", "v2.0": "detector-input-v2"}
@@ -35,30 +35,12 @@ RETRIEVAL_SETTINGS = {
 }
 
 
-class RetryableTransportError(RuntimeError):
-    """No usable answer came; the request may be sent again."""
-
-
-class ChatTransport(Protocol):
-    """Sends a request; returns provider_request_id, resolved_model, content and token counts."""
-
-    def complete_chat(self, request: dict, *, request_key: str): ...
-
-
-def write_json(path: Path, value: object) -> None:
-    """Write by renaming, so that no reader sees half of it."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(path.name + ".tmp")
-    part.write_text(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    part.replace(path)
-
-
 def _read(spark: SparkSession, config: StudyConfig, name: str) -> DataFrame:
     return spark.read.parquet(config.table(name))
 
 
-def _write(df: DataFrame, path: str | Path) -> None:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(str(path))
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _digest(df: DataFrame) -> str:
@@ -71,8 +53,8 @@ def _digest(df: DataFrame) -> str:
 
 def audit_raw(spark: SparkSession, config: StudyConfig, full: bool = False) -> dict:
     """Files and bytes of each source; with full, digests of all paths and contents."""
-    config.validate_raw_layout()
-    parts = [raw.files(spark, str(config.raw_root), s).withColumn("source", F.lit(s)) for s in SOURCES]
+    config.validate_raw_layout(spark)
+    parts = [raw.files(spark, config.raw_root, s).withColumn("source", F.lit(s)) for s in SOURCES]
     rows = reduce(DataFrame.unionByName, parts)
     found = {r.source: {"files": r.files, "bytes": r.bytes} for r in raw.audit(rows).collect()}
     if full:
@@ -81,23 +63,24 @@ def audit_raw(spark: SparkSession, config: StudyConfig, full: bool = False) -> d
     return {"generated_at_utc": datetime.now(UTC).isoformat(), "full": full, "sources": found}
 
 
-def prepare_data(spark: SparkSession, config: StudyConfig, *, force: bool = False, full_raw_audit: bool = False, names: mail.Recogniser = mail.no_names, language: Callable | None = None) -> dict:
+def prepare_data(spark: SparkSession, config: StudyConfig, *, force: bool = False, full_raw_audit: bool = False, names: mail.Recogniser = mail.no_names, language: mail.Detector | None = detect) -> dict:
     """Make all data tables in order, or use those that are there."""
-    config.ensure_directories()
+    config.ensure_directories(spark)
     raw_audit = audit_raw(spark, config, full_raw_audit)
-    write_json(config.data_dir / "raw-audit.json", raw_audit)
-    if not force and all(Path(config.table(t)).exists() for t in TABLES):
+    files = Files(spark)
+    files.write_json(f"{config.data_dir}/raw-audit.json", raw_audit)
+    if not force and all(files.exists(config.table(t)) for t in TABLES):
         return {
-            "status": "reused", "raw_audit": raw_audit, "split": json.loads((config.data_dir / "split-manifest.audit.json").read_text()),
+            "status": "reused", "raw_audit": raw_audit, "split": files.read_json(f"{config.data_dir}/split-manifest.audit.json"),
             "representations": {"rows": _read(spark, config, "detector-input-v2").count()},
         }
     audit = {"status": "rebuilt", "raw_audit": raw_audit, "pool": _pool(spark, config, names, language), "similarity": _similarity(spark, config), "split": _split(spark, config), "representations": _represent(spark, config)}
-    write_json(config.data_dir / "data-audit.json", audit)
+    files.write_json(f"{config.data_dir}/data-audit.json", audit)
     return audit
 
 
-def _pool(spark: SparkSession, config: StudyConfig, names: mail.Recogniser, language: Callable | None) -> dict:
-    parts = [raw.messages(spark, str(config.raw_root), s, config.seed) for s in SOURCES]
+def _pool(spark: SparkSession, config: StudyConfig, names: mail.Recogniser, language: mail.Detector | None) -> dict:
+    parts = [raw.messages(spark, config.raw_root, s, config.seed) for s in SOURCES]
     rows = reduce(DataFrame.unionByName, parts).withColumn("raw_sha256", F.sha2("raw_email", 256))
     rows = rows.withColumn("sample_id", text.sample_id(F.col("source"), F.col("source_path"), F.col("source_message_index"), F.col("raw_sha256")))
     parsed = materialize(mail.parse_messages(rows, names, language).withColumn("content_sha256", text.content_digest(F.col("subject"), F.col("body_text"))), "parsed")
@@ -108,12 +91,12 @@ def _pool(spark: SparkSession, config: StudyConfig, names: mail.Recogniser, lang
     group = text.duplicate_group_id(F.col("content"))
     manifest = ranked.select("sample_id", "source", F.col("label").alias("corpus_label"), group.alias("duplicate_group_id"), "candidate_rank_within_source", "pool_status", F.lit(config.seed).alias("selection_seed"))
     kept = parsed.join(ranked.select("sample_id"), "sample_id", "left_semi").drop("ord", "error_type", "error")
-    detector = {"language_detector_name": F.lit("injected" if language else "none"), "language_detector_version": F.lit("1"), "parse_status": F.lit("ok"), "duplicate_group_id": text.duplicate_group_id(F.col("content_sha256"))}
+    detector = {"language_detector_name": F.lit("none" if language is None else "function-words" if language is detect else "injected"), "language_detector_version": F.lit("1"), "parse_status": F.lit("ok"), "duplicate_group_id": text.duplicate_group_id(F.col("content_sha256"))}
     _write(kept.withColumns(detector), config.table("canonical"))
     _write(manifest, config.table("candidate-pool"))
     reasons = materialize(found.reasons, "reasons")
     failed = parsed.where("error_type is not null").join(reasons.where("reason = 'processing_failure'").select("source", "ord"), ["source", "ord"], "left_semi")
-    failed.select("source", "source_path", "error_type", "error").write.mode("overwrite").json(str(config.data_dir / "processing-failures.jsonl"))
+    failed.select("source", "source_path", "error_type", "error").write.mode("overwrite").json(f"{config.data_dir}/processing-failures.jsonl")
     counts = reasons.groupBy("source", "reason").count().collect()
     skipped: dict[str, int] = {}
     scanned: dict[str, int] = {}
@@ -129,12 +112,13 @@ def _similarity(spark: SparkSession, config: StudyConfig) -> dict:
     rows = _read(spark, config, "canonical").select("sample_id", "source", "duplicate_group_id", F.concat_ws("\n", "subject", "body_text").alias("text"))
     prints = simhash.fingerprints(rows, "sample_id", F.col("text"))
     place = _read(spark, config, "candidate-pool").select("sample_id", "candidate_rank_within_source", "duplicate_group_id", F.array_position(F.array(*(F.lit(s) for s in SOURCES)), F.col("source")).alias("nth_source"))
-    banded = materialize(simhash.bands(prints.join(place, "sample_id"), "sample_id", F.struct("nth_source", "candidate_rank_within_source")), "banded")
+    prints = materialize(prints.join(place, "sample_id"), "prints")
+    banded = materialize(simhash.bands(prints, "sample_id", F.struct("nth_source", "candidate_rank_within_source")), "banded")
     edges = simhash.edges(banded, "sample_id", "duplicate_group_id")
     _write(edges, config.table("similarity-edges"))
-    over = simhash.overflow(banded).first()
+    over = simhash.overflow(prints).first()
     audit = {"method": "token-bigram-simhash64", "candidate_pairs": _read(spark, config, "similarity-edges").count(), **over.asDict()}
-    write_json(config.data_dir / "similarity-edges.audit.json", audit)
+    Files(spark).write_json(f"{config.data_dir}/similarity-edges.audit.json", audit)
     return audit
 
 
@@ -159,7 +143,7 @@ def _split(spark: SparkSession, config: StudyConfig) -> dict:
     _write(rows.orderBy("source", "split", "similarity_group_id", "sample_id"), config.table("split-manifest"))
     counts = {r.split: r["count"] for r in _read(spark, config, "split-manifest").groupBy("split").count().collect()}
     audit = {"selected_total": total, "counts": counts, "selected_per_source": each, "selection_manifest_id": name, "similarity_groups": groups.count()}
-    write_json(config.data_dir / "split-manifest.audit.json", audit)
+    Files(spark).write_json(f"{config.data_dir}/split-manifest.audit.json", audit)
     return audit
 
 
@@ -169,9 +153,13 @@ def _represent(spark: SparkSession, config: StudyConfig) -> dict:
     v1 = rows.select("sample_id", F.col("detector_input_v1").alias("detector_input_text"), F.lit(mail.V1_VERSION).alias("representation_version"))
     _write(v1, config.table("detector-input-v1"))
     # Raw bytes are read again by where they lie, and not kept in the canonical table.
-    mails = reduce(DataFrame.unionByName, (raw.messages(spark, str(config.raw_root), s, config.seed) for s in SOURCES)).select("source", "source_path", "source_message_index", "raw_email")
+    mails = reduce(DataFrame.unionByName, (raw.messages(spark, config.raw_root, s, config.seed) for s in SOURCES)).select("source", "source_path", "source_message_index", "raw_email")
     same = (mails["source"] == rows["source"]) & (mails["source_path"] == rows["source_path"]) & mails["source_message_index"].eqNullSafe(rows["source_message_index"])
-    _write(mail.enriched(rows.join(mails, same).select("sample_id", "detector_input_v1", "raw_email", "attachment_extensions")), config.table("detector-input-v2"))
+    made = materialize(mail.enriched(rows.join(mails, same).select("sample_id", "detector_input_v1", "raw_email", "attachment_extensions")), "enriched")
+    bad = made.where("error is not null").select("sample_id", "error").orderBy("sample_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"sample {bad[0].sample_id} can't be enriched: {bad[0].error}")
+    _write(made.drop("error"), config.table("detector-input-v2"))
     return {"rows": v1.count(), "v1": mail.V1_VERSION, "v2": mail.V2_VERSION}
 
 
@@ -193,16 +181,20 @@ def _report(predictions: DataFrame) -> dict:
     return {"confusion_matrix": {c: row.pop(c) for c in ("tn", "fp", "fn", "tp")}, **row}
 
 
-def _collected(predictions: DataFrame) -> list[dict]:
-    return [r.asDict() for r in predictions.select(*bootstrap.PAIRED, "predicted_label", "phishing_probability").collect()]
+def _run(predictions: DataFrame) -> DataFrame:
+    """Predictions with the columns of a run (see compare and bootstrap)."""
+    return predictions.select(
+        "sample_id", "source", F.col("corpus_label").cast("int").alias("label"), "similarity_group_id", F.col("predicted_label").cast("int").alias("predicted"), F.col("phishing_probability").alias("score")
+    )
 
 
 def run_nlp_study(spark: SparkSession, config: StudyConfig, grid: list[dict] | None = None) -> dict:
     """Choose parameters and representation on the validation split, refit, and score the test split once."""
-    missing = [t for t in ("split-manifest", *REPRESENTATIONS.values()) if not Path(config.table(t)).exists()]
+    files = Files(spark)
+    missing = [t for t in ("split-manifest", *REPRESENTATIONS.values()) if not files.exists(config.table(t))]
     if missing:
         raise FileNotFoundError("missing data tables: " + ", ".join(missing))
-    config.ensure_directories()
+    config.ensure_directories(spark)
     grid = model.PARAMETER_GRID if grid is None else grid
     best: dict[str, dict] = {}
     predicted: dict[str, DataFrame] = {}
@@ -210,59 +202,61 @@ def run_nlp_study(spark: SparkSession, config: StudyConfig, grid: list[dict] | N
         rows = materialize(study_rows(spark, config, name), "study")
         scored = materialize(model.grid_predictions(rows, "text", grid), "grid")
         as_metric = scored.select("candidate", F.col("corpus_label").alias("label"), F.col("predicted_label").alias("predicted"), F.col("phishing_probability").alias("score"))
-        table = [r.asDict() for r in metrics.classification_metrics(as_metric, ["candidate"]).collect()]
-        best[name] = max(table, key=lambda r: (r["balanced_accuracy"], r["f1"], -r["candidate"]))
+        best[name] = model.best_candidate(metrics.classification_metrics(as_metric, ["candidate"])).first().asDict()
         predicted[name] = scored.where(F.col("candidate") == best[name]["candidate"]).drop("candidate").withColumn("representation", F.lit(name))
     order = list(REPRESENTATIONS)
-    chosen = max(order, key=lambda n: (best[n]["balanced_accuracy"], best[n]["f1"], -order.index(n)))
+    chosen = max(order, key=lambda n: (best[n]["balanced_accuracy"], best[n]["f1"], -order.index(n)))  # of two
     mark = (F.col("corpus_label") == F.col("predicted_label")).alias("correct")
-    _write(reduce(DataFrame.unionByName, predicted.values()).select("*", mark), config.nlp_dir / "validation-predictions.parquet")
-    paired = bootstrap.sequential({n: _collected(p) for n, p in predicted.items()}, seed=config.seed, replicates=config.bootstrap_replicates)
+    _write(reduce(DataFrame.unionByName, predicted.values()).select("*", mark), f"{config.nlp_dir}/validation-predictions.parquet")
+    validation = spark.read.parquet(f"{config.nlp_dir}/validation-predictions.parquet")
+    runs = {n: _run(validation.where(F.col("representation") == n)) for n in order}
+    paired = bootstrap.report(runs, seed=config.seed, replicates=config.bootstrap_replicates)
     parameters = grid[best[chosen]["candidate"]]
     test, weights = model.test_predictions(study_rows(spark, config, chosen), "text", parameters)
-    _write(test.drop("candidate").select("*", F.lit(chosen).alias("representation"), mark), config.nlp_dir / "test-predictions.parquet")
-    test = spark.read.parquet(str(config.nlp_dir / "test-predictions.parquet"))
+    _write(test.drop("candidate").select("*", F.lit(chosen).alias("representation"), mark), f"{config.nlp_dir}/test-predictions.parquet")
+    test = spark.read.parquet(f"{config.nlp_dir}/test-predictions.parquet")
     top = [r.asDict() for r in model.top_features(weights).orderBy("side", "rank").collect()]
     summary = {
         "generated_at_utc": datetime.now(UTC).isoformat(), "selected_representation": chosen, "selected_parameters": parameters, "validation": best, "paired_validation_bootstrap": paired,
-        "test_metrics": _report(test), "test_bootstrap": bootstrap.sequential({chosen: _collected(test)}, seed=config.seed, replicates=config.bootstrap_replicates),
+        "test_metrics": _report(test), "test_bootstrap": bootstrap.report({chosen: _run(test)}, seed=config.seed, replicates=config.bootstrap_replicates),
     }
-    write_json(config.nlp_dir / "top-features.json", {side: [r for r in top if r["side"] == side] for side in ("phishing", "legitimate")})
-    write_json(config.nlp_dir / "summary.json", summary)
+    files.write_json(f"{config.nlp_dir}/top-features.json", {side: [r for r in top if r["side"] == side] for side in ("phishing", "legitimate")})
+    files.write_json(f"{config.nlp_dir}/summary.json", summary)
     return summary
 
 
-def selected_representation(config: StudyConfig) -> str:
-    path = config.nlp_dir / "summary.json"
-    if not path.exists():
+def selected_representation(spark: SparkSession, config: StudyConfig) -> str:
+    files, path = Files(spark), f"{config.nlp_dir}/summary.json"
+    if not files.exists(path):
         raise FileNotFoundError("run the NLP study before the comparison of prompts")
-    name = json.loads(path.read_text(encoding="utf-8"))["selected_representation"]
+    name = files.read_json(path)["selected_representation"]
     if name not in REPRESENTATIONS:
         raise ValueError("the NLP summary names an unknown representation")
     return name
 
 
-def load_prompt(config: StudyConfig) -> str:
-    value = config.prompt_path.read_text(encoding="utf-8").strip()
+def load_prompt(spark: SparkSession, config: StudyConfig) -> str:
+    value = Files(spark).read_text(config.prompt_path).strip()
     if not value:
         raise ValueError("the system prompt is empty")
     return value
 
 
 def _frozen(spark: SparkSession, config: StudyConfig, version: str, **more: object) -> str:
-    name = selected_representation(config)
+    name = selected_representation(spark, config)
     return prompts.protocol_digest({"version": version, "representation": _digest(_read(spark, config, REPRESENTATIONS[name])), "split": _digest(_read(spark, config, "split-manifest")), **more})
 
 
 def build_retrieval_manifest(spark: SparkSession, config: StudyConfig) -> dict:
     """Retrieve an example from each pool for every test sample, once; check the result, also when it is there."""
-    config.ensure_directories()
+    config.ensure_directories(spark)
     protocol = _frozen(spark, config, "tfidf-source-balanced-retrieval-v1.0", settings=RETRIEVAL_SETTINGS, plan=SOURCE_PLAN)
-    path, side = config.retrieval_dir / "retrieval-manifest.parquet", config.retrieval_dir / "retrieval-manifest.json"
-    rows = materialize(study_rows(spark, config, selected_representation(config)), "study")
+    files = Files(spark)
+    path, side = f"{config.retrieval_dir}/retrieval-manifest.parquet", f"{config.retrieval_dir}/retrieval-manifest.json"
+    rows = materialize(study_rows(spark, config, selected_representation(spark, config)), "study")
     as_split = rows.select("sample_id", "source", F.col("corpus_label").alias("label"), "split", "similarity_group_id")
-    if path.exists():
-        if not side.exists() or json.loads(side.read_text())["retrieval_protocol_id"] != protocol:
+    if files.exists(path):
+        if not files.exists(side) or files.read_json(side)["retrieval_protocol_id"] != protocol:
             raise ValueError("retrieval manifest belongs to a different frozen protocol")
     else:
         train, test = as_split.where("split = 'train'"), as_split.where("split = 'test'")
@@ -270,13 +264,13 @@ def build_retrieval_manifest(spark: SparkSession, config: StudyConfig) -> dict:
         for _, source, label in SOURCE_PLAN:
             if (source, label) not in have:
                 raise ValueError(f"no train candidates for {source}/{label}")
-        weights, _ = model.features(rows, "text", 1, 1, "split = 'train'")
-        weights = materialize(weights, "weights")
+        tf = materialize(tfidf.counts(rows, "sample_id", F.col("text")), "tf")
+        weights = materialize(model.features(tf, rows.select("sample_id", "split"), 1, "split = 'train'")[0], "weights")
         own = lambda s: weights.join(s.select("sample_id"), "sample_id", "left_semi")
         found = tfidf.best_examples(test, train, own(test), own(train), SOURCE_PLAN)
         _write(found.orderBy("target_sample_id", "position"), path)
-        write_json(side, {"retrieval_protocol_id": protocol, "representation": selected_representation(config), "selection_rule": "highest cosine similarity within each frozen source/label train pool"})
-    manifest = spark.read.parquet(str(path))
+        files.write_json(side, {"retrieval_protocol_id": protocol, "representation": selected_representation(spark, config), "selection_rule": "highest cosine similarity within each frozen source/label train pool"})
+    manifest = spark.read.parquet(path)
     for r in tfidf.audit(manifest, as_split, SOURCE_PLAN).orderBy("nth").collect():
         if r.violations:
             raise ValueError(f"retrieval manifest breaks the rule {r.rule} in {r.violations} cases")
@@ -288,31 +282,45 @@ def build_retrieval_manifest(spark: SparkSession, config: StudyConfig) -> dict:
     }
 
 
-def _examples(spark: SparkSession, config: StudyConfig, targets: DataFrame) -> DataFrame:
-    """(sample_id, text, x): targets with their labelled examples in order."""
-    rows = study_rows(spark, config, selected_representation(config))
-    manifest = spark.read.parquet(str(config.retrieval_dir / "retrieval-manifest.parquet")).withColumnRenamed("target_sample_id", "sample_id").join(targets, "sample_id", "left_semi")
-    shown = rows.select(F.col("sample_id").alias("example_sample_id"), F.col("text").alias("shown"))
-    packed = manifest.join(shown, "example_sample_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("shown").alias("text"), F.col("example_label").cast("int").alias("label")))).alias("x"))
-    return packed.join(rows.select("sample_id", "text"), "sample_id")
+def _messages(spark: SparkSession, config: StudyConfig, targets: DataFrame, system: str, shots: bool) -> DataFrame:
+    """(sample_id, message, too_long): what is asked about targets, after four labelled examples in order if asked for."""
+    rows = study_rows(spark, config, selected_representation(spark, config))
+    own = rows.select("sample_id", "text").join(targets, "sample_id", "left_semi")
+    message = prompts.target_message(F.col("text"))
+    if shots:
+        manifest = spark.read.parquet(f"{config.retrieval_dir}/retrieval-manifest.parquet").withColumnRenamed("target_sample_id", "sample_id").join(targets, "sample_id", "left_semi")
+        shown = rows.select(F.col("sample_id").alias("example_sample_id"), F.col("text").alias("shown"))
+        example = F.struct("position", F.col("shown").alias("text"), F.col("example_label").cast("int").alias("label"))
+        own = own.join(manifest.join(shown, "example_sample_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(example)).alias("x")), "sample_id")
+        message = prompts.four_shot_message(F.col("x"), F.col("text"))
+    return own.select("sample_id", message.alias("message")).withColumn("too_long", prompts.too_long(F.lit(system), F.col("message")))
+
+
+def _requests(messages: DataFrame, system: str) -> dict[str, dict]:
+    """The requests of a batch by sample. Too long a prompt is an error, never cut."""
+    rows = messages.collect()
+    if any(r.too_long for r in rows):
+        raise ValueError(f"the prompt exceeds the {prompts.MAX_PROMPT_CHARACTERS:,}-character limit; its examples were not truncated or sent")
+    return {r.sample_id: prompts.classification_request(system, r.message) for r in rows}
 
 
 def preview_retrieval_four_shot_request(spark: SparkSession, config: StudyConfig, target_sample_id: str | None = None) -> dict:
     """One whole request, which is not sent."""
     build_retrieval_manifest(spark, config)
-    manifest = spark.read.parquet(str(config.retrieval_dir / "retrieval-manifest.parquet"))
+    manifest = spark.read.parquet(f"{config.retrieval_dir}/retrieval-manifest.parquet")
     chosen = target_sample_id or manifest.agg(F.min("target_sample_id")).first()[0]
-    row = _examples(spark, config, spark.createDataFrame([(chosen,)], "sample_id string")).first()
-    if row is None:
+    system = load_prompt(spark, config)
+    found = _requests(_messages(spark, config, spark.createDataFrame([(chosen,)], "sample_id string"), system, shots=True), system)
+    if not found:
         raise KeyError(f"unknown test sample {chosen}")
-    return prompts.four_shot_request(load_prompt(config), row.text, [(e.text, e.label) for e in row.x])
+    return found[chosen]
 
 
-def read_ledger(spark: SparkSession, path: Path, protocol: str) -> DataFrame:
-    """The ledger's records; a broken line or another protocol is an error."""
-    if not path.exists():
+def read_ledger(spark: SparkSession, path: str, protocol: str) -> DataFrame:
+    """The ledger's records, one file each; a broken line or another protocol is an error."""
+    if not Files(spark).exists(path):
         return spark.createDataFrame([], ledger.RECORD)
-    rows = spark.read.schema(ledger.RECORD + ", broken string").option("columnNameOfCorruptRecord", "broken").json(str(path))
+    rows = spark.read.schema(ledger.RECORD + ", broken string").option("columnNameOfCorruptRecord", "broken").json(path)
     bad = rows.agg(F.count_if(F.col("broken").isNotNull()).alias("lines"), F.count_if(F.col("broken").isNull() & ~F.col("protocol_id").eqNullSafe(F.lit(protocol))).alias("others")).first()
     if bad.lines:
         raise ValueError(f"invalid ledger JSON on {bad.lines} lines")
@@ -321,18 +329,7 @@ def read_ledger(spark: SparkSession, path: Path, protocol: str) -> DataFrame:
     return rows.drop("broken")
 
 
-def _append(path: Path, record: Mapping[str, object]) -> None:
-    """Add a line in one write, which is on disk when this returns."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    out = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o644)
-    try:
-        os.write(out, (json.dumps(record, sort_keys=True) + "\n").encode())
-        os.fsync(out)
-    finally:
-        os.close(out)
-
-
-def _send(transport: ChatTransport, request: dict, key: str, pinned: str | None) -> tuple[dict, str | None]:
+def _send(spark: SparkSession, transport: ChatTransport, request: dict, key: str, pinned: str | None) -> tuple[dict, str | None]:
     """What a request gave as fields of a record, and the model that answered if it may be pinned."""
     answer = transport.complete_chat(request, request_key=key)
     used = (answer.input_tokens, answer.cached_input_tokens, answer.output_tokens)
@@ -344,16 +341,13 @@ def _send(transport: ChatTransport, request: dict, key: str, pinned: str | None)
     refused = {"response_sha256": hashlib.sha256(answer.content.encode()).hexdigest()}
     if not answer.resolved_model.startswith(ledger.MODEL) or (pinned and answer.resolved_model != pinned):
         return fields | refused | {"status": "model_mismatch", "validation_error": "the resolved model does not match the frozen run"}, pinned
-    try:
-        value = json.loads(answer.content)
-        if not isinstance(value, dict):
-            raise ValueError("model output must be a JSON object")
-        return fields | {"status": "accepted", "output": prompts.check_output(value)}, answer.resolved_model
-    except ValueError as error:
-        return fields | refused | {"status": "rejected", "validation_error": str(error)}, answer.resolved_model
+    verdict = prompts.judged(spark.createDataFrame([(answer.content,)], "answer string")).first()
+    if verdict.error is None:
+        return fields | {"status": "accepted", "output": verdict.output.asDict(recursive=True)}, answer.resolved_model
+    return fields | refused | {"status": "rejected", "validation_error": verdict.error}, answer.resolved_model
 
 
-def run_protocol_batch(spark: SparkSession, config: StudyConfig, transport: ChatTransport, *, authorised: bool, max_new_cases: int, method: str, zero_shot: bool, directory: Path, protocol: str, requests: Callable[[DataFrame], dict[str, dict]], retry_exhausted: bool = False) -> dict:
+def run_protocol_batch(spark: SparkSession, config: StudyConfig, transport: ChatTransport, *, authorised: bool, max_new_cases: int, method: str, zero_shot: bool, directory: str, protocol: str, requests: Callable[[DataFrame], dict[str, dict]], retry_exhausted: bool = False) -> dict:
     """Send the next samples, record every answer, and sum up; resumes from the ledger.
 
     requests makes the requests of a table of sample ids, which has max_new_cases rows at most.
@@ -362,7 +356,7 @@ def run_protocol_batch(spark: SparkSession, config: StudyConfig, transport: Chat
         raise PermissionError("set authorised=True only after approving external processing")
     if max_new_cases < 1:
         raise ValueError("max_new_cases must be positive")
-    path, representation = directory / "ledger.jsonl", selected_representation(config)
+    files, path, representation = Files(spark), f"{directory}/ledger.jsonl", selected_representation(spark, config)
     records = read_ledger(spark, path, protocol)
     tests = _read(spark, config, "split-manifest").where("split = 'test'").select("sample_id", "source", "corpus_label", "similarity_group_id")
     if not ledger.strangers(tests, records).isEmpty():
@@ -372,22 +366,20 @@ def run_protocol_batch(spark: SparkSession, config: StudyConfig, transport: Chat
         raise ValueError("ledger contains more than one resolved model")
     pinned, paused, new = next(iter(models), None), None, 0
     states = ledger.state(tests, records)
-    todo = ledger.pending(states, max_new_cases + 1, retry_exhausted)
+    todo = ledger.with_keys(ledger.pending(states, max_new_cases + 1, retry_exhausted), protocol)
     batch = [r.asDict() for r in todo.join(tests, "sample_id").orderBy("sample_id").collect()]
     built = requests(spark.createDataFrame([(r["sample_id"],) for r in batch[:max_new_cases]], "sample_id string")) if batch else {}
     for row in batch[:max_new_cases]:
         new += 1
-        for attempt in range(row["attempt"], ledger.MAX_ATTEMPTS + 1):
-            again = row["retry_round"] > 1
-            name = "\0".join([protocol, row["sample_id"], *([str(row["retry_round"])] if again else []), str(attempt)])
-            key = hashlib.sha256(name.encode()).hexdigest()
-            record = {"protocol_id": protocol, "sample_id": row["sample_id"], "retry_round": row["retry_round"], "authorised_retry": again, "attempt": attempt, "request_key": key}
+        for attempt, key in enumerate(row["request_keys"], row["attempt"]):
+            record = {"protocol_id": protocol, "sample_id": row["sample_id"], "retry_round": row["retry_round"], "authorised_retry": row["retry_round"] > 1, "attempt": attempt, "request_key": key}
             try:
-                got, pinned = _send(transport, built[row["sample_id"]], key, pinned)
+                got, pinned = _send(spark, transport, built[row["sample_id"]], key, pinned)
                 record |= {k: row[k] for k in ("source", "corpus_label", "similarity_group_id")} | got
             except RetryableTransportError as error:
                 record |= {"status": "transport_error", "error": str(error)[:300]}
-            _append(path, {"recorded_at_utc": datetime.now(UTC).isoformat()} | record)
+            when = datetime.now(UTC).isoformat()
+            files.append(path, f"{when.replace(':', '')}-{uuid.uuid4().hex}", {"recorded_at_utc": when} | record)
             if record["status"] in ("transport_error", "model_mismatch"):
                 paused = record["status"]
             if record["status"] != "rejected":
@@ -399,12 +391,12 @@ def run_protocol_batch(spark: SparkSession, config: StudyConfig, transport: Chat
     return _summarise(spark, config, tests, read_ledger(spark, path, protocol), directory, representation, paused, {"protocol_id": protocol, "method": method, "zero_shot": zero_shot, "resolved_model": pinned, "new_cases_this_invocation": new, "retry_exhausted": retry_exhausted})
 
 
-def _summarise(spark, config, tests, records, directory: Path, representation: str, paused: str | None, more: dict) -> dict:
+def _summarise(spark, config, tests, records, directory: str, representation: str, paused: str | None, more: dict) -> dict:
     predictions = ledger.predictions(records, representation)
     done = predictions.count()
     if done:
-        _write(predictions, directory / "predictions.parquet")
-        predictions = spark.read.parquet(str(directory / "predictions.parquet"))
+        _write(predictions, f"{directory}/predictions.parquet")
+        predictions = spark.read.parquet(f"{directory}/predictions.parquet")
     state = ledger.batch_status(ledger.state(tests, records), F.lit(paused)).first()
     used = ledger.usage(records).first()
     whole = state.status == "complete"
@@ -412,44 +404,37 @@ def _summarise(spark, config, tests, records, directory: Path, representation: s
         "generated_at_utc": datetime.now(UTC).isoformat(), "status": state.status, "requested_model": ledger.MODEL, "representation": representation, "test_samples": state.samples, "accepted_samples": state.accepted,
         "remaining_samples": state.remaining, "exhausted_samples": state.exhausted, "retry_policy": {"attempts_per_round": ledger.MAX_ATTEMPTS, "retry_exhausted_authorised": more.pop("retry_exhausted")},
         "token_usage": {"input": used.input_tokens, "cached_input": used.cached_input_tokens, "output": used.output_tokens}, "metrics": _report(predictions) if whole else None,
-        "bootstrap": bootstrap.sequential({more["method"]: _collected(predictions)}, seed=config.seed, replicates=config.bootstrap_replicates) if whole else None, **more,
+        "bootstrap": bootstrap.report({more["method"]: _run(predictions)}, seed=config.seed, replicates=config.bootstrap_replicates) if whole else None, **more,
     }
-    write_json(directory / "summary.json", summary)
+    Files(spark).write_json(f"{directory}/summary.json", summary)
     return summary
 
 
-def _contract(config: StudyConfig) -> dict:
-    return {"model": prompts.MODEL, "max_completion_tokens": prompts.MAX_COMPLETION_TOKENS, "schema": prompts.OUTPUT_SCHEMA, "prompt": load_prompt(config), "threshold": 0.5}
+def _contract(system: str) -> dict:
+    return {"model": prompts.MODEL, "max_completion_tokens": prompts.MAX_COMPLETION_TOKENS, "schema": prompts.OUTPUT_SCHEMA, "prompt": system, "threshold": 0.5}
 
 
 def run_zero_shot_batch(spark: SparkSession, config: StudyConfig, transport: ChatTransport, *, authorised: bool, max_new_cases: int = 100, retry_exhausted: bool = False) -> dict:
     """A bounded batch without examples. A finished run is returned as it is; one of another protocol is an error."""
-    protocol = _frozen(spark, config, "zero-shot-v1.0", contract=_contract(config))
-    done = config.zero_shot_dir / "summary.json"
-    if done.exists() and (old := json.loads(done.read_text(encoding="utf-8")))["status"] == "complete":
+    system = load_prompt(spark, config)
+    protocol = _frozen(spark, config, "zero-shot-v1.0", contract=_contract(system))
+    files, done = Files(spark), f"{config.zero_shot_dir}/summary.json"
+    if files.exists(done) and (old := files.read_json(done))["status"] == "complete":
         if old["protocol_id"] != protocol:
             raise ValueError("the complete zero-shot run belongs to a different frozen protocol")
         return old
-    prompt = load_prompt(config)
-
-    def requests(ids: DataFrame) -> dict[str, dict]:
-        rows = study_rows(spark, config, selected_representation(config)).join(ids, "sample_id", "left_semi")
-        return {r.sample_id: prompts.zero_shot_request(prompt, r.text) for r in rows.collect()}
-
+    requests = lambda ids: _requests(_messages(spark, config, ids, system, shots=False), system)
     return run_protocol_batch(spark, config, transport, authorised=authorised, max_new_cases=max_new_cases, method="zero-shot", zero_shot=True, directory=config.zero_shot_dir, protocol=protocol, requests=requests, retry_exhausted=retry_exhausted)
 
 
 def run_retrieval_four_shot_batch(spark: SparkSession, config: StudyConfig, transport: ChatTransport, *, authorised: bool, max_new_cases: int = 100, retry_exhausted: bool = False) -> dict:
     """A bounded batch with four retrieved examples."""
     audit = build_retrieval_manifest(spark, config)
-    protocol = _frozen(spark, config, "retrieval-four-shot-v1.0", contract=_contract(config), manifest=audit["manifest_sha256"], most=prompts.MAX_PROMPT_CHARACTERS)
-    prompt = load_prompt(config)
-
-    def requests(ids: DataFrame) -> dict[str, dict]:
-        return {r.sample_id: prompts.four_shot_request(prompt, r.text, [(e.text, e.label) for e in r.x]) for r in _examples(spark, config, ids).collect()}
-
+    system = load_prompt(spark, config)
+    protocol = _frozen(spark, config, "retrieval-four-shot-v1.0", contract=_contract(system), manifest=audit["manifest_sha256"], most=prompts.MAX_PROMPT_CHARACTERS)
+    requests = lambda ids: _requests(_messages(spark, config, ids, system, shots=True), system)
     summary = run_protocol_batch(spark, config, transport, authorised=authorised, max_new_cases=max_new_cases, method="retrieval-four-shot", zero_shot=False, directory=config.retrieval_dir, protocol=protocol, requests=requests, retry_exhausted=retry_exhausted)
-    write_json(config.retrieval_dir / "summary.json", summary | {"retrieval": audit})
+    Files(spark).write_json(f"{config.retrieval_dir}/summary.json", summary | {"retrieval": audit})
     return summary | {"retrieval": audit}
 
 
@@ -463,15 +448,15 @@ def load_complete_test_comparison(spark: SparkSession, config: StudyConfig) -> d
         "TF–IDF logistic regression": (config.nlp_dir, "test-predictions.parquet", "test_metrics"), "GPT-5 Nano zero-shot": (config.zero_shot_dir, "predictions.parquet", "metrics"),
         "GPT-5 Nano retrieved four-shot": (config.retrieval_dir, "predictions.parquet", "metrics"),
     }
-    out = {}
+    out, files = {}, Files(spark)
     for name, (directory, predictions, key) in methods.items():
-        missing = [str(p) for p in (directory / predictions, directory / "summary.json") if not p.exists()]
+        missing = [p for p in (f"{directory}/{predictions}", f"{directory}/summary.json") if not files.exists(p)]
         if missing:
             raise FileNotFoundError(f"{name} is missing {', '.join(missing)}")
-        summary = json.loads((directory / "summary.json").read_text(encoding="utf-8"))
+        summary = files.read_json(f"{directory}/summary.json")
         if key == "metrics" and summary.get("status") != "complete":
             raise ValueError(f"{name} is not complete")
-        rows = spark.read.parquet(str(directory / predictions)).withColumnRenamed("corpus_label", "label")
+        rows = spark.read.parquet(f"{directory}/{predictions}").withColumnRenamed("corpus_label", "label")
         if compare.status(expected, {name: rows}).first().status != "ready":
             raise ValueError(f"{name} does not cover the frozen held-out test set")
         if (summary.get(key) or {}).get("n") != n:
@@ -480,4 +465,4 @@ def load_complete_test_comparison(spark: SparkSession, config: StudyConfig) -> d
     return out
 
 
-__all__ = ["LABEL_NAMES", "ChatTransport", "RetryableTransportError", "build_retrieval_manifest", "load_complete_test_comparison", "prepare_data", "preview_retrieval_four_shot_request", "run_nlp_study", "run_retrieval_four_shot_batch", "run_zero_shot_batch"]
+__all__ = ["LABEL_NAMES", "ChatTransport", "HttpTransport", "RetryableTransportError", "build_retrieval_manifest", "load_complete_test_comparison", "prepare_data", "preview_retrieval_four_shot_request", "run_nlp_study", "run_retrieval_four_shot_batch", "run_zero_shot_batch"]

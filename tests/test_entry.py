@@ -6,6 +6,8 @@ import pytest
 
 from lettermill.plans import registry
 
+#: Queries that may find nothing in the smallest tables.
+MAY_BE_EMPTY = ("ledger_strangers", "pending_batch", "attempt_keys", "request_keys", "near_dup_edges_exact", "near_dup_edges", "similarity_components", "group_crossings")
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,7 +33,9 @@ def test_query_equals_sql(spark, con, name):
     got = registry.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(columns)
     key = lambda rows: sorted(str(tuple(plain(v) for v in r)) for r in rows)
-    assert key(got.select(*columns).collect()) == key(expected.fetchall())
+    wanted = key(expected.fetchall())
+    assert key(got.select(*columns).collect()) == wanted
+    assert wanted or name in MAY_BE_EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))

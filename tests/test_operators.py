@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import prompts, text
-from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, simhash, split, tfidf
+from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, report, simhash, split, tfidf
 from lettermill.sources import raw
 
 
@@ -32,11 +32,18 @@ def test_components_of_random_graphs(spark):
     assert graph.connected_components(frame.limit(0), "a", "b").count() == 0
 
 
-def test_components_without_the_one_task_form(spark, monkeypatch):
-    monkeypatch.setattr(graph, "ONE_TASK", 0)
-    frame = spark.createDataFrame([(str(i), str(i + 2)) for i in range(20)], "a string, b string")
-    got = {r.node: r.root for r in graph.connected_components(frame, "a", "b").collect()}
-    assert got == {str(i): min(str(j) for j in range(i % 2, 22, 2)) for i in range(22)}
+@pytest.mark.parametrize("nodes", [1_000_000, 3])
+def test_components_over_many_tasks(spark, monkeypatch, nodes):
+    """Chains whose edges lie in several tasks: rounds bring them together; so they do where a task holds three nodes at most."""
+    monkeypatch.setattr(graph, "TASK_NODES", nodes)
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame([(str(i), str(i + 2)) for i in range(40)], "a string, b string").repartition(7)
+        got = {r.node: r.root for r in graph.connected_components(frame, "a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    assert got == {str(i): min(str(j) for j in range(i % 2, 42, 2)) for i in range(42)}
 
 
 def one_by_one(messages, sources, desired):
@@ -101,7 +108,9 @@ def test_fingerprints_edges_and_buckets(spark):
     frame = spark.createDataFrame([(i, " ".join(t), f"g{i // 2}") for i, t in enumerate(texts)], "id long, text string, grp string")
     prints = {r.id: r.fingerprint for r in simhash.fingerprints(frame, "id", F.col("text")).collect()}
     assert prints == {i: fingerprint(t) for i, t in enumerate(texts)}
-    banded = simhash.bands(simhash.fingerprints(frame, "id", F.col("text")).join(frame.select("id", "grp"), "id"), "id", F.col("id"), cap=20)
+    printed = simhash.fingerprints(frame, "id", F.col("text")).join(frame.select("id", "grp"), "id")
+    banded = simhash.bands(printed, "id", F.col("id"), cap=20)
+    assert banded.groupBy("band", "byte").count().agg(F.max("count")).first()[0] == 20
     buckets, full, expected = defaultdict(list), 0, set()
     for i, t in enumerate(texts):
         if len(t) < 20:
@@ -117,7 +126,7 @@ def test_fingerprints_edges_and_buckets(spark):
                     expected.add((j, i, far))
             buckets[key].append(i)
     assert {(r.left_sample_id, r.right_sample_id, r.hamming_distance) for r in simhash.edges(banded, "id", "grp").collect()} == expected
-    assert simhash.overflow(banded).first().bucket_overflow_events == full > 0
+    assert simhash.overflow(printed, cap=20).first().bucket_overflow_events == full > 0
 
 
 def test_exact_edges_have_no_cap(spark):
@@ -234,38 +243,50 @@ def test_rates_without_cases(spark):
     assert (r.false_positive_rate, r.specificity) == (0, 0)
 
 
-def predictions(n=24, seed=1):
+def run_of(spark, seed=1, n=24):
     rng = random.Random(seed)
-    return [{"sample_id": f"s{i:02}", "source": f"src{i % 2}", "corpus_label": i % 2, "similarity_group_id": f"g{i // 4}-{i % 2}", "predicted_label": int(rng.random() < 0.5), "phishing_probability": rng.randrange(5) / 4} for i in range(n)]
+    rows = [(f"s{i:02}", f"src{i % 2}", i % 2, f"g{i // 4}-{i % 2}", int(rng.random() < 0.5), rng.randrange(5) / 4) for i in range(n)]
+    return spark.createDataFrame(rows, "sample_id string, source string, label int, similarity_group_id string, predicted int, score double")
 
 
-def test_bootstrap_is_paired_and_strict():
-    a, b = predictions(), predictions(seed=2)
-    out = bootstrap.sequential({"a": a, "b": b}, seed=3, replicates=50)
+def test_bootstrap_is_paired_and_strict(spark):
+    a, b = run_of(spark), run_of(spark, 2)
+    out = bootstrap.report({"a": a, "b": b}, seed=3, replicates=50)
+    assert (out["samples"], out["clusters"], out["replicates"]) == (24, 12, 50)
     point = out["runs"]["a"]["accuracy"]["point_estimate"]
-    assert point == np.mean([r["predicted_label"] == r["corpus_label"] for r in a])
+    assert point == pytest.approx(a.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0])
     span = out["runs"]["a"]["accuracy"]["confidence_interval_95"]
     assert span["lower"] <= point <= span["upper"]
     assert set(out["paired_difference"]) == {"b_minus_a"}
-    assert "paired_difference" not in bootstrap.sequential({"a": a}, seed=3, replicates=2)
-    for bad in ({"a": a, "b": b[:-1]}, {"a": a, "b": [*b[:-1], {**b[-1], "source": "z"}]}, {}, {"a": [r for r in a if r["corpus_label"]]}):
+    assert "paired_difference" not in bootstrap.report({"a": a}, seed=3, replicates=2)
+    same = bootstrap.report({"a": a, "b": a}, seed=3, replicates=20)["paired_difference"]["b_minus_a"]
+    assert all(x["confidence_interval_95"] == {"lower": 0, "upper": 0} for x in same.values())
+    moved = F.when(F.col("sample_id") == "s03", "z").otherwise(F.col("source"))
+    crossing = a.withColumn("similarity_group_id", F.lit("g"))
+    for bad in ({"a": a, "b": b.where("sample_id <> 's01'")}, {"a": a, "b": b.withColumn("source", moved)}, {}, {"a": a.where("label = 1")}, {"a": crossing}):
         with pytest.raises(ValueError):
-            bootstrap.sequential(bad, seed=3, replicates=2)
-
-
-def test_sequential_replicates_resample_rows():
-    """Weighted metrics of a draw equal those of the rows written out."""
-    rows = predictions()
-    label, pred = (np.array([r[k] for r in rows]) for k in ("corpus_label", "predicted_label"))
-    score = np.array([r["phishing_probability"] for r in rows])
-    w = np.random.default_rng(1).integers(0, 3, len(rows)).astype(float)
-    order = np.argsort(-score, kind="stable")
-    ends = np.r_[np.flatnonzero(np.diff(score[order])), len(rows) - 1]
-    got = bootstrap._weighted(label, pred, order, ends, w)
-    out = np.repeat(np.arange(len(rows)), w.astype(int))
-    pos, neg = score[out][label[out] == 1], score[out][label[out] == 0]
-    assert got["roc_auc"] == pytest.approx(np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]))
-    assert got["accuracy"] == pytest.approx((label[out] == pred[out]).mean())
+            bootstrap.report(bad, seed=3, replicates=2)
+    with pytest.raises(ValueError):
+        bootstrap.report({"a": a}, seed=3, replicates=0)
+
+
+def test_replicates_resample_groups(spark):
+    """Metrics of each replicate equal those of the rows of the groups drawn, written out."""
+    rows = run_of(spark)
+    data = [r.asDict() for r in rows.collect()]
+    strata = {(r["source"], r["label"]): sorted({x["similarity_group_id"] for x in data if (x["source"], x["label"]) == (r["source"], r["label"])}) for r in data}
+    got = {r.replicate: r for r in bootstrap.replicate_metrics(rows.withColumn("run", F.lit("r")), 6, 5, "run").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for k, r in got.items():
+        out = []
+        for (source, label), groups in strata.items():
+            for pick in range(len(groups)):
+                slot = int(hashlib.sha256(f"5:{k}:{source}:{label}:{pick}".encode()).hexdigest()[:12], 16) % len(groups)
+                out += [x for x in data if x["similarity_group_id"] == groups[slot]]
+        assert r.n == len(out)
+        assert r.accuracy == pytest.approx(np.mean([x["label"] == x["predicted"] for x in out]))
+        pos, neg = ([x["score"] for x in out if x["label"] == y] for y in (1, 0))
+        assert r.roc_auc == pytest.approx(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
 
 
 def test_comparison_needs_the_same_samples(spark):
@@ -302,11 +323,54 @@ def test_grid_and_features(spark):
     assert got.count() == 5 * 8 and got.where("corpus_label <> predicted_label").count() == 0
     test, weights = model.test_predictions(frame, "text", model.PARAMETER_GRID[0])
     assert test.count() == 8 and test.where("corpus_label <> predicted_label").count() == 0
+    wide = {r["rank"]: r for r in model.two_sided_features(model.top_features(weights, 2)).collect()}
+    assert sorted(wide) == [1, 2] and wide[1].phishing_feature in ("verify", "account", "now") and wide[1].legitimate_coefficient < 0 < wide[1].phishing_coefficient
     top = model.top_features(weights, 2).collect()
     assert {r.feature for r in top if r.side == "phishing"} < {"verify", "account", "now"}
     assert [r["rank"] for r in top if r.side == "legitimate"] == [1, 2]
 
 
+def test_scores_are_those_of_the_exact_solution(spark):
+    """Fitted weights make the gradient of the loss vanish, and scores in Spark are the margins by hand."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(f"s{i:02}", "s", i % 2, f"g{i}", "train" if i < 30 else "validation", " ".join(rng.choice(words[: 8 if i % 2 else 12]) for _ in range(9)) if i else "") for i in range(40)]
+    frame = spark.createDataFrame(rows, "sample_id string, source string, corpus_label int, similarity_group_id string, split string, text string")
+    tf = tfidf.counts(frame, "sample_id", F.col("text"))
+    weights, vocab = model.features(tf, frame, 1, "split = 'train'")
+    train = frame.where("split = 'train'")
+    found = model.fitted(weights, vocab, train, [(0, 1.0), (1, 10.0)])
+    x = defaultdict(dict)
+    for r in weights.collect():
+        x[r.sample_id][r.term] = r.weight
+    y = {r[0]: r[2] for r in rows}
+    own = [r[0] for r in rows if r[4] == "train"]
+    scores = {(r.candidate, r.sample_id): r.phishing_probability for r in model.scored(weights, frame.where("split = 'validation'"), found).collect()}
+    for candidate, c in ((0, 1.0), (1, 10.0)):
+        w = {r.feature: r.weight for r in found.where(F.col("candidate") == candidate).collect()}
+        margin = lambda s: w[None] + sum(w.get(t, 0) * v for t, v in x[s].items())  # noqa: B023, E731
+        n = [sum(y[s] == k for s in own) for k in (0, 1)]
+        slope = dict(w)
+        for s in own:
+            cost, sign = c * len(own) / (2 * n[y[s]]), 2 * y[s] - 1
+            d = -cost * sign / (1 + np.exp(sign * margin(s)))
+            slope[None] += d
+            for t, v in x[s].items():
+                slope[t] += d * v
+        assert max(map(abs, slope.values())) < 1e-4
+        for r in rows[30:]:
+            assert scores[candidate, r[0]] == pytest.approx(1 / (1 + np.exp(-margin(r[0]))))
+
+
+def test_reports(spark):
+    m = metrics.classification_metrics(scored(spark, [("r", y, p, s) for y, p, s in ((0, 0, 0.1), (0, 1, 0.7), (1, 1, 0.9), (1, 0, 0.3), (1, 1, 0.8))]), ["run"])
+    assert report.core(m, "run").columns == ["run", "balanced_accuracy", "precision", "recall", "f1", "false_positive_rate"]
+    assert report.core(m, "run").first().recall == 0.6667
+    assert report.ranking(m, "run").columns == ["run", "roc_auc", "average_precision"]
+    assert tuple(report.confusion(m, "run").first()) == ("r", 1, 1, 1, 2)
+    assert {r.metric for r in report.bars(m, "run").collect()} == {"balanced_accuracy", "precision", "recall", "f1"}
+
+
 def test_ledger_rounds(spark):
     rows = [("a", "rejected", None), ("a", "rejected", 1), ("b", "accepted", 1), ("c", "transport_error", 1), ("d", "rejected", 1), ("d", "rejected", 1), ("d", "rejected", 2)]
     records = spark.createDataFrame(rows, "sample_id string, status string, retry_round int")
@@ -336,28 +400,37 @@ def test_pending_without_a_limit(spark):
     assert "Limit" not in got._jdf.queryExecution().toString()
 
 
-def test_answers_are_checked_alike_in_both_forms(spark):
+#: What each of BROKEN is told.
+TOLD = [
+    prompts.BAD_LABEL, prompts.NOT_NUMERIC, prompts.NOT_NUMERIC, prompts.OUT_OF_RANGE, prompts.INCONSISTENT, prompts.BAD_COUNT, prompts.BAD_COUNT, prompts.BAD_ITEM, prompts.BAD_VALUE, prompts.BAD_VALUE,
+    prompts.NOT_TEXT, prompts.NO_WARNING, prompts.NEEDLESS_WARNING, prompts.BAD_FIELDS,
+]
+
+
+def test_answers_are_judged(spark):
     import json
 
-    assert prompts.check_output(VALID)["indicators"] == [{"type": "other", "evidence": "e"}]
-    cases, expected = [json.dumps(VALID)], [None]
-    for change in BROKEN:
-        with pytest.raises(ValueError) as error:
-            prompts.check_output(VALID | change)
-        cases.append(json.dumps(VALID | change))
-        expected.append(str(error.value))
-    got = spark.createDataFrame(list(enumerate(cases)), "i int, a string").select("i", prompts.output_error(F.col("a")).alias("e")).orderBy("i").collect()
-    assert [r.e for r in got] == expected
+    cases = [json.dumps(VALID), *(json.dumps(VALID | change) for change in BROKEN), "[1]", "{oops", None, json.dumps({k: v for k, v in VALID.items() if k != "reason"})]
+    expected = [None, *TOLD, prompts.NOT_OBJECT, prompts.NOT_JSON, prompts.NOT_JSON, prompts.BAD_FIELDS]
+    rows = prompts.judged(spark.createDataFrame(list(enumerate(cases)), "i int, answer string")).orderBy("i").collect()
+    assert [r.error for r in rows] == expected
+    assert rows[0].output.asDict(recursive=True) == VALID | {"indicators": [{"type": "other", "evidence": "e"}]}
+    assert all(r.output is None for r in rows[1:])
 
 
 def test_prompts(spark):
-    with pytest.raises(ValueError, match="300,000"):
-        prompts.four_shot_request("p", "t", [("a", 0)] * 3 + [("x" * 300_000, 1)])
-    with pytest.raises(ValueError, match="four examples"):
-        prompts.four_shot_request("p", "t", [("a", 0)])
-    want = prompts.four_shot_request("p", "t", [("a", 0), ("b", 1), ("c", 0), ("d", 1)])["messages"][1]["content"]
     x = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(y).alias("label")) for t, y in (("a", 0), ("b", 1), ("c", 0), ("d", 1))))
-    assert spark.range(1).select(prompts.four_shot_message(x, F.lit("t")).alias("m")).first().m == want
+    one = spark.range(1)
+    shown = one.select(prompts.four_shot_message(x, F.lit("t")).alias("m")).first().m
+    assert shown.index("legitimate") < shown.index("phishing") and shown.count("<example index=") == 4
+    assert shown.endswith("<email>\nt\n</email>") and '<example index="4">\n<label>phishing</label>\n<email>\nd\n</email>\n</example>' in shown
+    with pytest.raises(Exception, match="four examples"):
+        one.select(prompts.four_shot_message(F.slice(x, 1, 3), F.lit("t"))).collect()
+    long = lambda n: one.select(prompts.too_long(F.lit("p"), F.repeat(F.lit("x"), n)).alias("b")).first().b
+    assert not long(299_999) and long(300_000)
+    request = prompts.classification_request("p", "m")
+    assert [m["content"] for m in request["messages"]] == ["p", "m"] and request["max_completion_tokens"] == 256 and not request["stream"]
+    assert prompts.canonical_json({"b": "é", "a": [1, None]}) == '{"a":[1,null],"b":"é"}'
 
 
 def test_mbox_and_manifest_digest(spark):
