@@ -185,7 +185,7 @@ _VISIBLE = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in _HIDDEN:
     _VISIBLE = rf"regexp_replace({_VISIBLE}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', '', 'g')"
 _VISIBLE = rf"regexp_replace(regexp_replace({_VISIBLE}, '(?i)</?({_LINES})\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g')"
-for _mark, _shown in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _mark, _shown in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _VISIBLE = f"replace({_VISIBLE}, '{_mark}', '{_shown}')"
 
 _BLOCKS = """'<example index="' || position || '">' || chr(10) || '<label>' || CASE WHEN example_label = 1 THEN 'phishing' ELSE 'legitimate' END || '</label>' || chr(10) || '<email>' || chr(10) || e.text || chr(10) || '</email>' || chr(10) || '</example>'"""
