@@ -1,10 +1,10 @@
 """Connected components: forests within tasks, contracted by rounds of star operations between them.
 
-Each task first merges the edges it holds into a forest of stars, in a union of sets of bounded size. What
-connects stars of different tasks is contracted in rounds: edges are replaced by edges towards smaller ids
-until every node has one edge, to the smallest id of its component. Rounds are aggregations and joins on node ids:
-no node's neighbours are gathered in one row, so a star with millions of leaves costs no more memory
-than a chain. There is one way for all sizes; few edges lie in one task, whose forest is the result.
+Edges are dealt to as many tasks as their number asks for, and each task first merges what it holds into a forest of stars, in
+a union of sets of bounded size. What connects stars of different tasks is contracted in rounds: edges are replaced by
+edges towards smaller ids until every node has one edge, to the smallest id of its component. Rounds are aggregations and joins on
+node ids: no node's neighbours are gathered in one row, so a star with millions of leaves costs no more memory
+than a chain. Where one task holds all edges its forest is the result, and no round is needed.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.session import materialize
+from lettermill.session import count, materialize
 
 MAX_ROUNDS = 60
-#: Nodes that a task's union of sets holds, about 200 bytes each; then its stars go out and it starts anew.
-TASK_NODES = 1_000_000
+#: Edges to a task, so that its union of sets holds at most twice as many nodes, about 200 bytes each.
+TASK_EDGES = 500_000
 
 
 def _stars(parent: dict) -> pd.DataFrame:
@@ -49,16 +49,17 @@ def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     parent[below] = node
                 tops.append(node)
             parent[max(tops)] = min(tops)
-        if len(parent) > TASK_NODES:
+        if len(parent) > 2 * TASK_EDGES:  # files of uneven size: its stars go out and it starts anew
             yield _stars(parent)
             parent = {}
     if parent:
         yield _stars(parent)
 
 
-def _local(edges: DataFrame) -> DataFrame:
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.mapInPandas(_forest, f"a {kind}, b {kind}")
+def _local(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The stars of each task, and the number of tasks that the edges ask for."""
+    kind, tasks = edges.schema["a"].dataType.simpleString(), max(1, -(-count(edges) // TASK_EDGES))
+    return materialize(edges.coalesce(tasks).mapInPandas(_forest, f"a {kind}, b {kind}"), "stars"), tasks
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -91,11 +92,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     ends = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(
         F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))
     )
-    cur = materialize(_local(ends.distinct()), "stars")
+    cur, tasks = _local(materialize(ends.distinct(), "edges"))
     for _ in range(MAX_ROUNDS):
-        if _settled(cur):
+        if tasks == 1 or _settled(cur):
             break
-        cur = materialize(_local(_small_star(_large_star(cur))), "stars")
+        cur, tasks = _local(materialize(_small_star(_large_star(cur)), "edges"))
     else:
         raise RuntimeError("connected components did not converge")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,6 +6,7 @@ its source, path below the root, and place in its container.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,11 @@ SPAM_NAME = r"^\d{5}\.[0-9a-f]{32}$"
 SPAM_SUBSETS = ("easy_ham", "easy_ham_2", "hard_ham")
 METADATA = ("LICENSE.txt", "README.txt")
 ORIGINAL_LABELS = {"enron": "enron", "spamassassin": "ham", "nazario": "phishing", "phishingpot": "phishing"}
+#: Notes on how a source's label was mapped.
+LABEL_NOTES = {
+    "enron": "Enron mapped to the experimental legitimate class", "spamassassin": "SpamAssassin ham mapped to the experimental legitimate class",
+    "nazario": "Nazario mapped to the experimental phishing class", "phishingpot": "PhishingPot mapped to the experimental phishing class",
+}
 
 
 def _files(spark: SparkSession, root: str, *below: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
@@ -78,10 +84,9 @@ def messages(spark: SparkSession, root: str, source: str, seed: int) -> DataFram
         order = seeded(seed, F.col("source_path"))
     subset = {"spamassassin": F.element_at(F.split("source_path", "/"), -2), "nazario": F.element_at(F.split("source_path", "/"), -1)}.get(source, F.lit(None).cast("string"))
     label = SOURCES[source]
-    name = {"enron": "Enron", "spamassassin": "SpamAssassin ham", "nazario": "Nazario", "phishingpot": "PhishingPot"}[source]
     return rows.select(
         F.lit(source).alias("source"), "source_path", F.col("message_index").alias("source_message_index"), subset.alias("source_subset"), F.lit(ORIGINAL_LABELS[source]).alias("original_label"),
-        F.lit(label).alias("corpus_label"), F.lit(LABEL_NAMES[label]).alias("corpus_label_name"), F.lit(f"{name} mapped to the experimental {LABEL_NAMES[label]} class").alias("label_mapping_note"),
+        F.lit(label).alias("corpus_label"), F.lit(LABEL_NAMES[label]).alias("corpus_label_name"), F.lit(LABEL_NOTES[source]).alias("label_mapping_note"),
         order.alias("ord"), "raw_email",
     )
 
@@ -93,8 +98,6 @@ def audit(rows: DataFrame) -> DataFrame:
 
 def _folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hash each source's sorted rows as they come by; a source lies in one partition."""
-    import hashlib
-
     source, digest = None, None
     for pdf in frames:
         for own, path, sha in zip(pdf["source"], pdf["source_path"], pdf["sha"], strict=True):
