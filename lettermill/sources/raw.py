@@ -1,21 +1,25 @@
 """Raw mail corpora: file trees, single-message files, and mbox containers.
 
-Files are read by Spark's binaryFile source, so that any store it knows will do. A row is a message with
+Files are read by Spark's own sources, so that any store it knows will do. A row is a message with
 its source, path below the root, and place in its container.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lettermill.config import LABEL_NAMES, SOURCES
 from lettermill.functions.text import seeded
+from lettermill.session import count, materialize
+
+#: Splits of containers that are broadcast to their messages, about 200 bytes each.
+BROADCAST_BLOCKS = 500_000
 
 #: File names of single messages, subsets, and files that are no mail.
 SPAM_NAME = r"^\d{5}\.[0-9a-f]{32}$"
@@ -34,9 +38,13 @@ def _files(spark: SparkSession, root: str, *below: str, recursive: bool = False,
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rows = reader.load([f"{root}/{b}" for b in below])
-    # Paths come as URIs; what follows the root's last part is the path below it.
-    mark = "/" + below[0].split("/", 1)[0] + "/"
-    return rows.select(F.concat(F.lit(mark[1:]), F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), mark, -1)).alias("source_path"), "length", "content")
+    return rows.select(_below(F.col("path"), below[0]).alias("source_path"), "length", "content")
+
+
+def _below(path: Column, folder: str) -> Column:
+    """Paths come as URIs; what follows the root's last part is the path below it."""
+    mark = "/" + folder.split("/", 1)[0] + "/"
+    return F.concat(F.lit(mark[1:]), F.substring_index(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), mark, -1))
 
 
 def files(spark: SparkSession, root: str, source: str) -> DataFrame:
@@ -54,33 +62,44 @@ def files(spark: SparkSession, root: str, source: str) -> DataFrame:
     raise ValueError(f"unknown source: {source}")
 
 
-def split_mbox(raw: bytes) -> list[bytes]:
-    """Messages of an mbox container, without their From lines and the blank line before the next."""
-    starts = [m.start() for m in re.finditer(rb"(?m)^From ", raw)]
-    found = []
-    for at, end in zip(starts, [*starts[1:], len(raw)], strict=True):
-        body = raw[raw.find(b"\n", at) + 1 or end : end]
-        if end != len(raw):
-            body = body.removesuffix(b"\r\n") if body.endswith(b"\r\n\r\n") else body.removesuffix(b"\n") if body.endswith(b"\n\n") else body
-        found.append(body)
-    return found
-
+def mbox_messages(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(source_path, message_index, raw_email) of the messages of the mbox containers in a folder, below which paths begin with its name.
 
-def _exploded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for path, raw in zip(pdf["source_path"], pdf["content"], strict=True):
-            mails = split_mbox(raw)
-            yield pd.DataFrame({"source_path": path, "message_index": range(len(mails)), "raw_email": mails}).astype({"message_index": "Int64"})
+    A message follows a line that begins with "From "; the blank line before the next one isn't part of it. Containers are
+    read by a line separator, so that a large one is split among tasks; a message's index is its place in its
+    split plus the messages of the splits before, and only these numbers are brought together.
+    """
+    text = spark.read.option("lineSep", "\nFrom ").text(folder)
+    rows = text.select(
+        F.col("value").cast("binary").alias("record"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
+    )
+    # The first record of a file has its own mark, or none if there is no message before the second.
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by(F.col("record").startswith(F.lit(b"From ")), "id").alias("marked"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy("file")
+    headed = F.first("marked").over(every.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(every)).withColumn("headed", headed)
+    blocks = materialize(blocks.select("file", "block", "first", "before", "all", "headed"), "blocks")
+    placed = rows.join(F.broadcast(blocks) if count(blocks) <= BROADCAST_BLOCKS else blocks, ["file", "block"])
+    nth = F.col("before") + F.col("id") - F.col("first")
+    placed = placed.withColumn("nth", nth).where((F.col("nth") > 0) | F.col("headed"))
+    line = F.locate("\n", F.col("record").cast("string"))
+    body = F.when(line > 0, F.substring("record", F.octet_length(F.substring_index(F.col("record").cast("string"), "\n", 1)) + 2, F.octet_length("record"))).otherwise(F.lit(b""))
+    ends = lambda t: F.endswith(F.col("body"), F.lit(t))
+    # Between messages the separator took a line end: that of a blank line, which goes, or of the last line, which stays.
+    whole = F.when((F.col("nth") == F.col("all") - 1) | (line == 0), F.col("body")).when(ends(b"\n\r"), F.substring("body", F.lit(1), F.octet_length("body") - 1)).when(ends(b"\n"), F.col("body"))
+    whole = whole.otherwise(F.concat("body", F.lit(b"\n")))
+    index = F.col("nth") - F.when(F.col("headed"), 0).otherwise(1)
+    return placed.withColumn("body", body).select(_below(F.col("file"), name).alias("source_path"), index.cast("long").alias("message_index"), whole.alias("raw_email"))
 
 
 def messages(spark: SparkSession, root: str, source: str, seed: int) -> DataFrame:
     """The messages of a source, with labels and ord, their place in the seeded order."""
-    rows = files(spark, root, source)
     if source == "nazario":
-        rows = rows.select("source_path", "content").mapInPandas(_exploded, "source_path string, message_index long, raw_email binary")
+        rows = mbox_messages(spark, f"{root}/Nazario", "Nazario").where(~F.element_at(F.split("source_path", "/"), -1).isin(*METADATA))
         order = seeded(seed, F.col("source_path"), F.col("message_index").cast("string"))
     else:
-        rows = rows.select("source_path", F.lit(None).cast("long").alias("message_index"), F.col("content").alias("raw_email"))
+        rows = files(spark, root, source).select("source_path", F.lit(None).cast("long").alias("message_index"), F.col("content").alias("raw_email"))
         order = seeded(seed, F.col("source_path"))
     subset = {"spamassassin": F.element_at(F.split("source_path", "/"), -2), "nazario": F.element_at(F.split("source_path", "/"), -1)}.get(source, F.lit(None).cast("string"))
     label = SOURCES[source]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -428,9 +429,39 @@ def test_prompts(spark):
     assert prompts.canonical_json({"b": "é", "a": [1, None]}) == '{"a":[1,null],"b":"é"}'
 
 
-def test_mbox_and_manifest_digest(spark):
-    box = b"From a\nSubject: 1\n\nbody\n\nFrom b\r\nSubject: 2\n\n>From kept\nlast\n"
-    assert raw.split_mbox(box) == [b"Subject: 1\n\nbody\n", b"Subject: 2\n\n>From kept\nlast\n"]
+def split_mbox(data):
+    """Messages of a container, one after the other."""
+    starts = [m.start() for m in re.finditer(rb"(?m)^From ", data)]
+    found = []
+    for at, end in zip(starts, [*starts, len(data)][1:], strict=True):
+        body = data[data.find(b"\n", at) + 1 or end : end]
+        if end != len(data):
+            body = body.removesuffix(b"\r\n") if body.endswith(b"\r\n\r\n") else body.removesuffix(b"\n") if body.endswith(b"\n\n") else body
+        found.append(body)
+    return found
+
+
+def test_mbox_containers(spark, tmp_path):
+    rng = random.Random(3)
+    boxes = {
+        "a.mbox": b"From a\nSubject: 1\n\nbody\n\nFrom b\r\nSubject: 2\r\n\r\nx\r\n\r\nFrom c\n>From kept\nlast \xff\xfe\n", "empty": b"", "none": b"no mail\n", "late.mbox": b"preface\n\nFrom x\nA: b\n\nFrom y\nFrom z\nend",
+        "big one.mbox": b"".join(b"From %d\nSubject: %d\n\n%s\n\n" % (i, i, b"line of text\n" * rng.randrange(400)) for i in range(300)),
+    }
+    (tmp_path / "Box").mkdir()
+    for name, data in boxes.items():
+        (tmp_path / "Box" / name).write_bytes(data)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = raw.mbox_messages(spark, str(tmp_path / "Box"), "Box").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    got = {(r.source_path, r.message_index): bytes(r.raw_email) for r in rows}
+    assert got == {(f"Box/{name}", i): m for name, data in boxes.items() for i, m in enumerate(split_mbox(data))}
+    assert len(rows) == len(got)
+
+
+def test_manifest_digest(spark):
     rows = [("s", f"d/{n}", hashlib.sha256(n.encode()).hexdigest()) for n in ("b", "a/z", "a-z", "a")]
     got = {r.source: r.manifest_sha256 for r in raw.manifest_digest(spark.createDataFrame(rows + [("t", "x", "00" * 32)], "source string, source_path string, sha string")).collect()}
     fold = hashlib.sha256()
