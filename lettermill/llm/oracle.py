@@ -95,9 +95,13 @@ WITH split_ AS (
     JOIN t1 ON t1.t = substr(g, 3, 1) JOIN c1 ON c1.t = '' JOIN t2 ON t2.t = substr(g, 2, 2) JOIN c2 ON c2.t = substr(g, 2, 1) JOIN t3 ON t3.t = g JOIN c3 ON c3.t = substr(g, 1, 2)
 ), scores AS (SELECT uid, avg(r) AS score FROM grams JOIN ratios USING (g) GROUP BY uid
 ), scored AS (SELECT s.*, coalesce(score, 0.0) AS score FROM said s LEFT JOIN scores USING (uid)
-), spread AS (
-  SELECT avg(score) FILTER (ruled = 'allow') AS a, stddev_pop(score) FILTER (ruled = 'allow') AS sa, avg(score) FILTER (ruled = 'block') AS b, stddev_pop(score) FILTER (ruled = 'block') AS sb FROM scored WHERE held
-), cut AS (SELECT CASE WHEN a IS NULL OR b IS NULL THEN '-infinity'::DOUBLE WHEN sa + sb > 0 THEN (a * sb + b * sa) / (sa + sb) ELSE (a + b) / 2 END AS cut FROM spread)
+), steps AS (
+  SELECT CAST(floor(score / 0.001) AS BIGINT) AS k, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b FROM scored WHERE held AND ruled IS NOT NULL GROUP BY 1
+), errors AS (
+  SELECT k, coalesce(lag(k) OVER (ORDER BY k), k) AS prev, coalesce(sum(a) OVER w, 0)::DOUBLE / nullif(sum(a) OVER (), 0) AS missed, 1 - coalesce(sum(b) OVER w, 0)::DOUBLE / nullif(sum(b) OVER (), 0) AS passed
+  FROM steps WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), best AS (SELECT min(struct_pack(e := round(missed + passed, 9), k := k, prev := prev)) AS x FROM errors WHERE missed IS NOT NULL AND passed IS NOT NULL
+), cut AS (SELECT coalesce((x.k + x.prev) / 2 * 0.001, '-infinity'::DOUBLE) AS cut FROM best)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 9) AS score FROM scored, cut
 """
 

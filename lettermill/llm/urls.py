@@ -11,6 +11,7 @@ are looked up in place: no row leaves its task to be scored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lettermill.llm.words import lowered
@@ -25,6 +26,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0-._~:/?#[]@!$&'()+,;=%*^"
 ORDER = 3
 #: Weight of the lower order in smoothing, in observations.
 SMOOTH = 4.0
+#: Steps of scores in which the cut is sought.
+STEP = 0.001
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -58,18 +61,12 @@ def codes(text: Column) -> Column:
 
 def _grams(numbers: Column) -> Column:
     """The number of the gram that ends at each character; marks stand before the first."""
-    size = len(ALPHABET)
-    mark = ALPHABET.index("^")
-    padded = F.concat(F.array_repeat(F.lit(mark), ORDER - 1), numbers)
-    at = F.transform(numbers, lambda _, i: i)
-
-    def gram(i: Column) -> Column:
-        found = F.get(padded, i)
-        for k in range(1, ORDER):
-            found = found * size + F.get(padded, i + k)
-        return found
-
-    return F.transform(at, gram)
+    size, n = len(ALPHABET), F.size(numbers)
+    padded = F.concat(F.array_repeat(F.lit(ALPHABET.index("^")), ORDER - 1), numbers)
+    found = F.slice(padded, 1, n)
+    for k in range(1, ORDER):
+        found = F.zip_with(found, F.slice(padded, k + 1, n), lambda before, last: before * size + last)
+    return found
 
 
 def _ratios(grams: DataFrame) -> DataFrame:
@@ -101,8 +98,7 @@ def score(pages: DataFrame, rules: dict[str, str] = RULES) -> tuple[DataFrame, f
     """(page_id, host, path, rule, ruled, score) and the cut that allowed URLs' scores reach.
 
     A URL without characters scores 0. Characters are counted over the URLs that rules judge, without those that
-    calibrate. The cut lies between the mean scores of the latter, allowed and blocked, nearer to the class
-    that varies less; if either is missing it is minus infinity.
+    calibrate. The cut is set by the latter (see _cut); it is minus infinity if there are none of either kind.
     """
     host, path = parts(F.col("url"))
     ruled = F.create_map(*(F.lit(x) for r in rules.items() for x in r))
@@ -115,11 +111,22 @@ def score(pages: DataFrame, rules: dict[str, str] = RULES) -> tuple[DataFrame, f
     total = F.aggregate(_grams(F.col("codes")), F.lit(0.0), lambda acc, g: acc + F.get(ratios, g))
     mean = F.coalesce(total / F.nullif(F.size("codes"), F.lit(0)), F.lit(0.0))
     scored = materialize(base.select("page_id", "host", "path", "rule", "ruled", "held", mean.alias("score")), "scored")
-    spread = {r.ruled: (r.m, r.s) for r in scored.where("held and ruled is not null").groupBy("ruled").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
-    if {"allow", "block"} - spread.keys():
-        return scored, float("-inf")
-    (a, sa), (b, sb) = spread["allow"], spread["block"]
-    return scored, (a * sb + b * sa) / (sa + sb) if sa + sb > 0 else (a + b) / 2
+    return scored, _cut(scored.where("held and ruled is not null"))
+
+
+def _cut(scored: DataFrame) -> float:
+    """The score from which on URLs are allowed so that the shares of allowed ones below and of blocked ones from it on are least.
+
+    Scores are counted in steps of STEP, of which there is a bounded number; the middle between the best step and
+    the one before it is taken. Minus infinity without URLs of both kinds.
+    """
+    steps = scored.groupBy(F.floor(F.col("score") / STEP).alias("k")).agg(*(F.count_if(F.col("ruled") == kind).alias(kind) for kind in ("allow", "block")))
+    order, every = W.orderBy("k"), W.partitionBy(F.lit(0))
+    below = order.rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.withColumn("missed", F.coalesce(F.sum("allow").over(below), F.lit(0)) / F.nullif(F.sum("allow").over(every), F.lit(0)))
+    steps = steps.withColumn("passed", 1 - F.coalesce(F.sum("block").over(below), F.lit(0)) / F.nullif(F.sum("block").over(every), F.lit(0))).withColumn("prev", F.coalesce(F.lag("k").over(order), "k"))
+    row = steps.where("missed is not null and passed is not null").agg(F.min(F.struct(F.round(F.col("missed") + F.col("passed"), 9).alias("error"), "k", "prev")).alias("best")).first()
+    return float("-inf") if row.best is None else (row.best.k + row.best.prev) / 2 * STEP
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
