@@ -81,32 +81,68 @@ def test_a_tree_splits_less_than_it_keeps():
     assert found / 200 > 0.75
 
 
+DEPTHS = 12
+
+
 def test_trees_grow_with_depth():
     for similarity in (0.8, 0.85):
-        needed = [minhash.trees_for(similarity, depth) for depth in range(1, minhash.LEVELS + 1)]
-        assert needed == sorted(needed) and needed[2] <= minhash.TREES < needed[-1]
+        needed = [minhash.trees_for(similarity, depth) for depth in range(1, DEPTHS + 1)]
+        assert needed == sorted(needed) and needed[1] <= minhash.TREES < needed[-1]
         assert all(minhash.missed(similarity, d, t) <= minhash.MISS for d, t in enumerate(needed, 1))
-    # The chance agrees with trees grown by branch() for pairs of sketches.
-    rng, s, depth, trees, pairs = np.random.default_rng(5), 0.8, 6, 4, 4000
+        assert minhash.missed(similarity, 1, 1000) < 2 * minhash.UNLIKE
+
+
+def grown_apart(rng, s, depth, trees, pairs):
+    """Which of so many pairs of sketches of a similarity no tree, grown by branch(), brings together at a depth."""
     same = rng.random((pairs, minhash.POSITIONS)) < s
     a = rng.integers(0, 1 << 32, same.shape, dtype=np.uint32)
     b = np.where(same, a, a + 1).astype(np.uint32)
-    cut = s - minhash.SLACK * (s * (1 - s) / minhash.POSITIONS) ** 0.5
-    lost = same.mean(axis=1) >= cut
-    for t in range(trees):
-        own, nodes = np.arange(pairs), mix(np.arange(pairs, dtype=np.uint64) * np.uint64(trees) + np.uint64(t))
+    return same.sum(axis=1), a, b, depth, trees
+
+
+@pytest.mark.parametrize(("threshold", "s", "depth", "trees"), [(0.8, 0.8, 6, 4), (0.85, 0.85, 3, None), (0.85, 0.9, 6, None), (0.85, 0.95, 9, None), (0.8, 0.8, 9, None), (0.8, 0.85, 3, None)])
+def test_recall_of_trees_by_similarity(threshold, s, depth, trees):
+    """The chance to miss a pair agrees with trees grown by branch() for pairs of sketches; by default it is below MISS."""
+    pairs, rng = 3000, np.random.default_rng(5)
+    agree, a, b, _, _ = grown_apart(rng, s, depth, trees, pairs)
+    chosen = trees or minhash.trees_for(threshold, depth)
+    lost = np.ones(pairs, bool)
+    for t in range(chosen):
+        own, nodes = np.arange(pairs), mix(np.arange(pairs, dtype=np.uint64) * np.uint64(chosen) + np.uint64(t))
         for _ in range(depth):
-            (ra, na), (rb, nb) = minhash.branch(nodes, a[own], s), minhash.branch(nodes, b[own], s)
+            (ra, na), (rb, nb) = minhash.branch(nodes, a[own], threshold), minhash.branch(nodes, b[own], threshold)
             both = na == nb
             own, nodes = own[ra[both]], na[both]
         lost[own] = False
-    assert abs(lost.mean() - minhash.missed(s, depth, trees)) < 0.02
+    lost |= agree < minhash.agreement_cut(threshold)
+    if trees:
+        assert abs(lost.mean() - minhash.missed(s, depth, trees)) < 0.02
+    else:
+        assert lost.sum() <= 3
+
+
+def test_many_near_copies_under_one_id(spark):
+    """Rows that share an id are told apart by their texts; repeats of one text come once."""
+    rng = random.Random(11)
+    base = words(rng, 120, 5000).split()
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{rng.randrange(999)}"
+        texts.append(" ".join(copy))
+    frame = documents(spark, [(7, t, "s") for t in texts] + [(7, texts[0], "s")] * 40 + [(9, words(rng, 90, 5000), "s"), (None, texts[1], "s")])
+    got = minhash.near_duplicates(frame, block=16).collect()
+    assert len(got) == 102
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(7, 7, True), (9, 9, True), (None, 7, False)}
 
 
 def test_forest_of_a_block():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(40)]
     linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))
+    some = {frozenset(map(int, e)) for e in minhash.linked(sets, 50, 100, first=3)}
+    expected = components(list(range(40)), lambda i, j: j < 3 and linked(i, j))
+    assert components(list(range(40)), lambda i, j: frozenset((i, j)) in some) == expected
     forest = minhash.linked(sets, 50, 100)
     assert all(linked(i, j) for i, j in forest)
     brute = components(list(range(40)), linked)
@@ -115,7 +151,10 @@ def test_forest_of_a_block():
     assert len(shingles(b"one two", 3)) == 1
 
 
-@pytest.mark.parametrize("options", [{}, {"cell": 20, "block": 7, "sample": 60}])
+EXACT = {"reach": None, "cells": 3.0, "block": 7, "sample": 60}
+
+
+@pytest.mark.parametrize("options", [{"reach": None}, EXACT, {}])
 def test_embeddings_equal_brute_force(spark, options):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(40, 8))
@@ -131,5 +170,37 @@ def test_embeddings_equal_brute_force(spark, options):
             unit[i] = x / np.linalg.norm(x)
     ids = [d[0] for d in data]
     link = lambda a, b: a in unit and b in unit and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9
+    n_links = {a: sum(link(a, b) for b in ids if b != a) for a in ids}
     expected = components(ids, lambda i, j: link(ids[i], ids[j]))
-    assert {i: (g.n_links, g.component_id, g.kept) for i, g in got.items()} == {a: (sum(link(a, b) for b in ids if b != a), expected[a], expected[a] == a) for a in ids}
+    if options:
+        assert {i: (g.n_links, g.component_id, g.kept) for i, g in got.items()} == {a: (n_links[a], expected[a], expected[a] == a) for a in ids}
+    else:
+        assert all(g.n_links <= n_links[i] and g.component_id >= expected[i] for i, g in got.items())
+        assert sum(g.n_links for g in got.values()) >= 0.9 * sum(n_links.values())
+
+
+def test_repeated_and_null_vector_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [2.0, 0.0]), (0, None), (5, [0.0, 3.0]), (None, [-1.0, 0.0])]
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(False, 0, 0, 0, True), (False, 1, 1, 1, True), (False, 1, 2, 1, True), (False, 1, 2, 1, True), (False, 5, 1, 1, False), (True, 0, 0, -1, True), (True, 0, 2, 1, False)]
+
+
+def test_recall_of_visits_on_vectors_that_do_not_cluster(spark):
+    """Pairs right above the threshold in random directions, among random vectors: nearly all are found with few visits."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 32)))
+    aside = rng.normal(size=(400, 32))
+    aside = unit(aside - (aside * x[:400]).sum(1, keepdims=True) * x[:400])
+    y = 0.902 * x[:400] + (1 - 0.902**2) ** 0.5 * aside
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = by_id(embed.near_duplicates(frame), "vec_id")
+    found = sum(got[3000 + i].component_id == i for i in range(400))
+    assert found >= 390
+    assert all(got[3000 + i].n_links == got[i].n_links for i in range(400))
+    points = [{"dim": 32, "point": i, "weight": 1, "vector": v.tobytes()} for i, v in enumerate(x)]
+    import pandas as pd
+
+    cells = {32: embed.spherical_kmeans(x, 220)}
+    visits = pd.concat(embed._visits(iter([pd.DataFrame(points)]), cells, 0.9, embed.REACH))
+    assert len(visits) < 20 * len(x)

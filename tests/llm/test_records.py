@@ -76,6 +76,43 @@ def test_other_records_and_old_revisits(spark, tmp_path):
     assert list(refers.values()) == [("<b>", 2)] and "<b>" in ids and "<a>" not in ids and len(rows) == 8
 
 
+def test_captures_keep_their_own_headers(spark, tmp_path):
+    """A 404 and a redirect with equal payloads: status, headers, dates and addresses are those of each capture."""
+
+    def made(name, when, status, payload):
+        block = f"HTTP/1.1 {status}\r\nServer: s-{name}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: {when}\r\nWARC-Target-URI: http://h/{name}\r\nContent-Type: application/http; msgtype=response\r\n"
+        return head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "in").mkdir()
+    dns = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <d>\r\nContent-Type: text/dns\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    raw = made("a", "2020-01-01T00:00:00Z", "404 Not Found", b"gone") + made("b", "2021-02-02T00:00:00Z", "301 Moved", b"gone") + made("c", "2022-03-03T00:00:00Z", "200 OK", b"here") + dns
+    (tmp_path / "in" / "x.warc").write_bytes(raw)
+    warc.deduplicate(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    rows = {r.uri: r for r in warc.read(spark, str(tmp_path / "out")).collect()}
+    assert [bytes(rows[f"http://h/{k}"].http).split(b"\r\n")[:2] for k in "abc"] == [[b"HTTP/1.1 404 Not Found", b"Server: s-a"], [b"HTTP/1.1 301 Moved", b"Server: s-b"], [b"HTTP/1.1 200 OK", b"Server: s-c"]]
+    assert [rows[f"http://h/{k}"].date[:4] for k in "abc"] == ["2020", "2021", "2022"]
+    a, b = rows["http://h/a"], rows["http://h/b"]
+    assert (a.kind, b.kind, a.payload_bytes) == ("revisit", "response", 4)
+    assert (a.refers_to_id, a.refers_to_uri, a.refers_to_date) == ("<b>", "http://h/b", "2021-02-02T00:00:00Z")
+    assert bytes(rows[None].raw) == dns[:-4] and len(rows) == 4
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * (n * 1000 + i)) for i, n in enumerate([1] * 50 + [100] * 6)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.page_records(pages), str(tmp_path / "a"), per_file=16)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "a").rglob("*.gz")]
+    assert len(sizes) > 6 and max(sizes) <= 16 * (warc.SMALL + 1000)
+    assert warc.read(spark, str(tmp_path / "a"), payloads=False).count() == 56
+
+
+def test_a_hot_payload_has_one_response(spark):
+    """The commonest payload, the empty one, ten thousand times: written by several tasks, one response, the rest revisits."""
+    pages = spark.range(10_000).selectExpr("id as page_id", "concat('http://h/', id) as url", "cast(null as string) as html").repartition(6)
+    got = warc.archive_pages(pages).groupBy("record_type", "refers_to").count().collect()
+    assert sorted((r.record_type, r.refers_to, r["count"]) for r in got) == [("response", None, 1), ("revisit", 9999, 9999)]
+
+
 CHAT = [
     (1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, None, "ann", "late"), (1, 2, "bob b", "yo"), (2, 0, "system", "alone"), (3, 5, None, None), (3, 700, "user", ""),
     (None, 0, "user", "q"), (None, 300, "assistant", "a"), (1, -3, "cat", "first"),
@@ -105,6 +142,19 @@ def test_perspectives_render_each_dialogue(spark):
     assert chat.rotate(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_a_long_dialogue_of_many_parties(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "BROADCAST_PARTIES", most)
+    turns = [(1, i if i % 7 else None, f"p{i % 5}", "long " * 2000 if i == 9 else str(i)) for i in range(1500)] + [(2, 0, "a", "b")]
+    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).where("conv_id = 1").collect()
+    assert len(rows) == 5 * 1500
+    for p in range(5):
+        own = sorted((r for r in rows if r.perspective == f"p{p}"), key=lambda r: r.seq)
+        assert [r.seq for r in own] == list(range(1500))
+        assert all(a.stop == b.start for a, b in zip(own, own[1:], strict=False)) and own[0].start == 0
+        assert sum(r.mask_start is not None for r in own) == 300
+
+
 def test_perspectives_equal_sql(spark):
     import pandas as pd
 
@@ -160,3 +210,62 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(frame, most=2.5)
+
+
+def test_mix_takes_some_of_many_repeated_rows(spark):
+    """A third of all rows are one row: as many of its copies are taken again as the target asks for."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, words(rng, 20), "ab"[i % 2]) for i in range(400)] + [(7777, "one two three", "a")] * 300
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert len(got) == 700
+    for s in "ab":
+        own = [r for r in got if (r.doc_id == 7777 or r.doc_id % 2 == 0) == (s == "a")]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= (2 if s == "a" else 10)  # half of a document
+        assert all(r.taken in [m * r.size for m in range(4)] for r in own)
+
+
+def test_mix_takes_a_large_document_where_that_comes_nearer(spark):
+    rows = [(1, " ".join(["w"] * 100), "a"), (2, " ".join(["w"] * 30), "b"), (3, " ".join(["w"] * 30), "b")]
+    got = by_id(mixing.mix(documents(spark, rows), weights=(19, 1)))
+    assert got[1].target > 150 and got[1].taken == 200 or got[1].target <= 150 and got[1].taken == 100
+    rows = [(1, " ".join(["w"] * 1000), "a"), *((i, "x y", "b") for i in range(2, 700))]
+    got = by_id(mixing.mix(documents(spark, rows), weights=(4, 3)))
+    assert 1300 < got[1].target < 1400 and got[1].taken == 1000
+    got = by_id(mixing.mix(documents(spark, rows), weights=(19, 5)))
+    assert 1800 < got[1].target < 1900 and got[1].taken == 2000
+
+
+def thresholds(rows, targets, sizes):
+    """The words taken of each document (doc_id, text, source), one document after the other in the order of hashes."""
+    key = lambda i, t: int(hashlib.md5(f"{i}/{t}".encode()).hexdigest()[:9], 16)  # noqa: E731, S324
+    taken = {}
+    for s, goal in targets.items():
+        own = sorted((key(i, t), i, len(t.split())) for i, t, x in rows if x == s)
+        whole = int(goal / sizes[s] + 1e-9)
+        left, extra, lo = goal - whole * sizes[s], set(), 0
+        for _ in range(mixing.PASSES):
+            most = left
+            for h, i, n in [d for d in own if d[0] >= lo and d[2] <= most + 1e-6]:
+                if n > left + 1e-6:
+                    lo = h + 1
+                    break
+                extra.add(i)
+                left -= n
+            else:
+                lo = 1 << 40
+        near = min(((abs(n - left), h, i) for h, i, n in own if i not in extra and n < 2 * left), default=None)
+        extra |= {near[2]} if near else set()
+        taken |= {i: n * (whole + (i in extra)) for _, i, n in own}
+    return taken
+
+
+def test_documents_taken_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.choice((1, 5, 40, 300))), rng.choice("abcd")) for i in range(300)]
+    got = by_id(mixing.mix(documents(spark, rows)))
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcd"}
+    assert {i: r.taken for i, r in got.items()} == thresholds(rows, level(sizes), sizes)

@@ -72,6 +72,19 @@ def test_repeated_notices_give_a_span_each():
     assert all(a["stop"] <= b["start"] for a, b in zip(long, long[1:], strict=False))
 
 
+def test_labels_of_the_method_on_repeats_and_long_texts(spark):
+    """A template far inside a long text, twice, and a row that repeats: the same labels and score, by the template's words."""
+    rng = random.Random(6)
+    label, mit = next((x, t) for x, t in license.TEMPLATES if x == "mit" and len(t) > 200)
+    filler = words(rng, 150_000, 900)
+    rows = [(1, f"{filler} {mit} {filler} {mit}", None), (1, f"{filler} {mit} {filler} {mit}", None), (2, filler, None), (None, mit, None)]
+    got = license.scan(documents(spark, rows)).collect()
+    assert sorted((r.licenses.labels, r.licenses.score, len(r.licenses.spans)) for r in got) == [("", 0.0, 0), (label, 1.0, 1), (label, 1.0, 2), (label, 1.0, 2)]
+    for r in got:
+        w = tokens(r.text)
+        assert all(w[s.start : s.stop] == tokens(mit) for s in r.licenses.spans)
+
+
 def test_automaton_statistics():
     rng = random.Random(3)
     for _ in range(100):
@@ -128,9 +141,11 @@ def benchmark_case():
     return docs, items
 
 
-@pytest.mark.parametrize("most", [500_000, 7])
-def test_decontamination_equals_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "hashes", "parts"), [(500_000, 4_000_000, 4), (7, 20, 100), (7, 20, 2)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, most, hashes, parts):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontam, "BROADCAST_HASHES", hashes)
+    monkeypatch.setattr(decontam, "BROADCASTS", parts)
     docs, items = benchmark_case()
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     rows = decontam.report(documents(spark, docs), bench).collect()
