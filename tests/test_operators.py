@@ -285,6 +285,20 @@ def test_replicates_resample_groups(spark):
         assert r.roc_auc == pytest.approx(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
 
 
+def test_replicates_are_summed_up_where_they_are_drawn(spark, monkeypatch):
+    """Draws aren't joined with rows unless these are too many for a task; both ways give the same metrics."""
+    rows = run_of(spark).withColumn("run", F.lit("a")).union(run_of(spark, 2).withColumn("run", F.lit("b"))).union(spark.createDataFrame([("x", "src9", 1, "gx", 1, 0.3, "c")], "sample_id string, source string, label int, similarity_group_id string, predicted int, score double, run string"))
+    found = lambda: {(r.run, r.replicate): r.asDict() for r in bootstrap.replicate_metrics(rows, 70, 5, "run").collect()}
+    monkeypatch.setattr(bootstrap, "TASK_ROWS", 0)
+    joined = found()
+    monkeypatch.undo()
+    monkeypatch.setattr(bootstrap, "draws", None)
+    got = found()
+    assert set(got) == set(joined) and len(got) == 210
+    for key, r in joined.items():
+        assert got[key] == pytest.approx(r)
+
+
 def test_comparison_needs_the_same_samples(spark):
     rows = spark.createDataFrame([("a", "s", 0, "g", 0, 0.1), ("b", "s", 1, "h", 1, 0.9)], "sample_id string, source string, label int, similarity_group_id string, predicted int, score double")
     runs = {"whole": rows, "short": rows.limit(1), "twice": rows.union(rows)}
