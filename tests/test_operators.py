@@ -209,6 +209,35 @@ def test_retrieval_falls_back_to_the_lowest_id(spark):
     assert {r.rule for r in tfidf.audit(wrong, split_, plan).collect() if r.violations} >= {"example_in_train", "source_and_label_plan", "distinct_examples"}
 
 
+def test_retrieval_keeps_terms_with_their_rows(spark, monkeypatch):
+    """All targets meet all examples, in whatever blocks; weights are never dealt out term by term."""
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("aa bb cc dd ee ff gg hh ii jj é-ß zzz".split()) + rng.choice(["", "", str(rng.randrange(60))]) for _ in range(rng.randrange(12)))
+    rows = [(f"m{i:03}", f"s{i % 3}", i % 2, rng.choice(["train", "train", "test", "validation"]), f"g{i}", text()) for i in range(240)]
+    rows += [(f"n{i:03}", *rows[i][1:]) for i in range(40)]  # copies, of which the first id counts
+    split_ = spark.createDataFrame(rows, "sample_id string, source string, label int, split string, similarity_group_id string, text string")
+    train, test = split_.where("split = 'train'"), split_.where("split = 'test'")
+    tf = tfidf.counts(split_, "sample_id", F.col("text"))
+    weights = tfidf.weights(tf, "sample_id", tfidf.vocabulary(tf.join(train.select("sample_id"), "sample_id", "left_semi"), train.count())).collect()
+    own: dict = {}
+    for r in weights:
+        own.setdefault(r.sample_id, {})[r.term] = r.weight
+    plan, want = [(1, "s0", 0), (2, "s1", 1), (3, "s0", 1)], {}
+    for t in (r[0] for r in rows if r[3] == "test"):
+        for position, source, label in plan:
+            pool = [r[0] for r in rows if r[1:4] == (source, label, "train")]
+            score = lambda e: round(sum(w * own.get(e, {}).get(k, 0) for k, w in own.get(t, {}).items()), 12)  # noqa: B023, E731
+            want[t, position] = min(pool, key=lambda e: (-score(e), e))  # noqa: B023
+    made, write = [], tfidf.materialize
+    monkeypatch.setattr(tfidf, "materialize", lambda df, tag: made.append(tag) or write(df, tag))
+    for sizes in ({}, {"RUN_TERMS": 100, "TARGETS": 7, "EXAMPLES": 5, "TERMS": 3, "DENSE": 8, "PAIRS": 10, "SLICE": 9}, {"LOOKUP_TERMS": 0}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(tfidf, name, value)
+        found = tfidf.retrieved(split_.drop("similarity_group_id"), F.col("text"), plan).collect()
+        assert {(r.target_sample_id, r.position): r.example_sample_id for r in found} == want and len(found) == len(want)
+        assert ("weights" in made) == ("LOOKUP_TERMS" in sizes)
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "run string, label int, predicted int, score double")
 
