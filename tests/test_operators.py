@@ -238,6 +238,16 @@ def test_retrieval_keeps_terms_with_their_rows(spark, monkeypatch):
         assert ("weights" in made) == ("LOOKUP_TERMS" in sizes)
 
 
+def test_prompts_leave_no_vectors(spark):
+    """What only retrieval needs is deleted before texts are dealt out."""
+    from lettermill import session
+    from lettermill.plans import queries
+
+    mark = session.scratch_mark(spark)
+    assert queries.four_shot_prompt(spark, "/root/testdata/sf0.001").count() > 0
+    assert [p.rsplit("/", 1)[-1].split("-")[0] for p in session._paths(spark)[mark:]] == ["rows", "manifest"]
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "run string, label int, predicted int, score double")
 
