@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import prompts, text
-from lettermill.operators import bootstrap, compare, graph, ledger, metrics, model, pool, report, simhash, split, tfidf
+from lettermill.operators import bootstrap, compare, gram, graph, ledger, metrics, model, pool, report, simhash, split, tfidf
 from lettermill.sources import raw
 
 
@@ -521,3 +521,42 @@ def test_manifest_digest(spark):
     for _, path, sha in sorted(rows, key=lambda r: r[1].split("/")):
         fold.update(path.encode() + bytes.fromhex(sha))
     assert got["s"] == fold.hexdigest() and set(got) == {"s", "t"}
+
+
+def test_grid_is_fitted_over_blocks_of_terms(spark, monkeypatch):
+    """Candidates fitted over terms that are dealt out score as those fitted in one task; equal texts score alike."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)] + ["é1", "İx"]
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.choice(words[: 30 if i % 2 else 42]) for _ in range(rng.randrange(1, 25))) if i % 29 else ("", None)[i // 29 % 2]
+        text = rows[i - 20][5] if i % 7 == 0 and i >= 100 else text
+        rows.append((f"s{i:03}", "s", i % 2, f"g{i}", ("train", "train", "validation", "test")[i % 4] if i < 100 else "validation", text))
+    frame = spark.createDataFrame(rows, "sample_id string, source string, corpus_label int, similarity_group_id string, split string, text string").repartition(3)
+    grid = [{"C": c, "ngram": n, "min_df": d} for c, n, d in ((0.1, 1, 1), (10.0, 1, 2), (1.0, 2, 1), (10.0, 2, 1), (1.0, 2, 3), (1.0, 3, 2))]
+    want = {}
+    for i, g in enumerate(grid):
+        weights, vocab = model.features(tfidf.counts(frame, "sample_id", F.col("text"), g["ngram"]), frame, g["min_df"], "split = 'train'")
+        found = model.fitted(weights, vocab, frame.where("split = 'train'"), [(i, g["C"])])
+        want |= {(r.candidate, r.sample_id): r.phishing_probability for r in model.scored(weights, frame.where("split = 'validation'"), found).collect()}
+
+    def one_task(*_):
+        raise AssertionError("a candidate was fitted in one task")
+
+    monkeypatch.setattr(model, "fitted", one_task)
+    monkeypatch.setattr(gram, "BLOCK_CHARS", 500)  # terms in several blocks
+    monkeypatch.setattr(gram, "GATHERED", 20_000)  # a few candidates at a time
+    got = {(r.candidate, r.sample_id): r.phishing_probability for r in model.grid_predictions(frame, "text", grid).collect()}
+    assert got.keys() == want.keys() and len(got) == 6 * 75
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-7
+    alike = defaultdict(set)
+    for (candidate, sample), p in got.items():
+        alike[candidate, rows[int(sample[1:])][5] or ""].add(p)
+    assert max(map(len, alike.values())) == 1 and len(alike) < len(got)
+
+
+def test_terms_of_one_key_are_told_apart():
+    array = lambda x, t: np.array(x, t)
+    same = gram._block(2, array([7, 7], np.uint64), array([1, 1], np.uint64), array([0, 1], np.int32), array([1, 2], np.int32), 2)
+    other = gram._block(2, array([7, 7], np.uint64), array([1, 2], np.uint64), array([0, 1], np.int32), array([1, 2], np.int32), 2)
+    assert not same[0] and other[0]
